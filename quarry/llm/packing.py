@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import each_row, settle
+from quarry.llm.common import each_row, settle, small
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     spark = pieces.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_salt"), F.lit(buckets)).cast("int"))
-    # at most ``capacity`` lengths times ``buckets`` rows, whatever the corpus
+    # at most ``capacity`` lengths times ``buckets`` rows; joined on the window's own keys if too many to broadcast
     sizes = settle(pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     counts = np.zeros(capacity + 1, "int64")
     for length, n in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row for each length
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_base") + rank).drop("_base", "_salt")
+    ranked = pieces.join(small(settle(bases), 24), ["length", "_salt"]).withColumn("_rank", F.col("_base") + rank).drop("_base", "_salt")
     runs = np.array(sorted(plan.runs) or np.zeros((0, 5)), "int64")
     shared = spark.sparkContext.broadcast((runs[:, 0] * (1 << 44) + runs[:, 1], runs[:, 1], runs[:, 3], runs[:, 4]))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, line_dedup, packing, secret_scan, warc
+from quarry.llm import bottomk, chat_format, cotrain, decontaminate, line_dedup, packing, quality_rules, secret_scan, warc
 from quarry.llm.common import table
 
 #: The one conversation beside the table's: its texts are control strings of templates.
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,13 +44,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.digest_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -54,4 +69,5 @@ SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_warc": warc.SQL,
+    "op10_near_dedup": bottomk.SQL,
 }
