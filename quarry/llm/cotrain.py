@@ -38,7 +38,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 MARKS = b"#*$%&|<>"
 PLACES = 64
-LEAST_RATIO = 0.8
+LEAST_RATIO = 1.2
+LEAST_SUPPORT = 4
 
 
 def word_features(word: bytes) -> list[int]:
@@ -83,7 +84,7 @@ class _Sparse:
     """Rows of counts over the square root of the number of words."""
 
     def __init__(self, rows: list[list[bytes]]):
-        index, value, ends = [], [], []
+        index, value, often, ends = [], [], [], []
         known: dict[bytes, list[int]] = {}
         for words in rows:
             counts: Counter = Counter()
@@ -94,17 +95,21 @@ class _Sparse:
                     counts[f] += c
             index.append(np.fromiter(counts.keys(), np.int32, len(counts)))
             value.append(np.fromiter(counts.values(), np.float32, len(counts)) / math.sqrt(max(1, len(words))))
+            often.append(np.minimum(10, np.fromiter(counts.values(), np.float32, len(counts))))
             ends.append(len(counts))
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), ends)
         self.index = np.concatenate([np.zeros(0, np.int32), *index])
         self.value = np.concatenate([np.zeros(0, np.float32), *value])
+        self.often = np.concatenate([np.zeros(0, np.float32), *often])
         self.n = len(rows)
 
     def scale(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Smoothed log ratio of a feature's share of documents in the two classes; small ones count as none."""
-        share = [np.bincount(self.index, (weight * (y == c))[self.row], 1 << BITS) for c in (1, 0)]
-        ratio = [np.log((s + 1) / (weight[y == c].sum() + 2)) for s, c in zip(share, (1, 0), strict=True)]
-        return np.where(np.abs(ratio[0] - ratio[1]) >= LEAST_RATIO, ratio[0] - ratio[1], 0.0)
+        """Log ratio of a feature's use in the two classes; features of few documents or with a small ratio count as none."""
+        use = [np.bincount(self.index, ((weight * (y == c))[self.row] * self.often), 1 << BITS) for c in (1, 0)]
+        share = [(u + 0.5) / max(1.0, weight[y == c].sum()) for u, c in zip(use, (1, 0), strict=True)]
+        support = np.bincount(self.index, (weight > 0)[self.row], 1 << BITS)
+        ratio = np.log(share[0] / share[1])
+        return np.where((np.abs(ratio) >= LEAST_RATIO) & (support >= LEAST_SUPPORT), ratio, 0.0)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.index], self.n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bottomk, chat_format, cotrain, decontaminate, line_dedup, packing, quality_rules, secret_scan, warc
+from quarry.llm import bottomk, chat_format, cotrain, decontaminate, gru_lm, line_dedup, packing, quality_rules, secret_scan, warc
 from quarry.llm.common import table
 
 #: The one conversation beside the table's: its texts are control strings of templates.
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_secrets(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_score": op4_lm_score,
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
