@@ -1,0 +1,179 @@
+"""Secret scans, decontamination, line removal and near duplicates."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import bottomk, decontaminate, line_dedup, secret_scan
+
+from .conftest import ODD
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+BASE = (("assign", ASSIGN, 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32))
+
+
+def base_spans(text):
+    out = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= least]
+    return [f"{n}:{a}:{b}" for a, _, b, n in sorted(out)]
+
+
+SECRETS = [
+    (10, "é💥 Password: hunter2hunter2 and token=short then token = secret=abcdefghij"),
+    (11, "AKIAABCDEFGHIJKL0 key AKIA12 " + "0123456789abcdef" * 3),
+    (12, "password: token = abcdefgh123"),
+    (13, "user=alice Zm9vYmFyYmF6cXV4Zm9vYmFy1 at https://api.example.com/v1"),
+    (14, "alone Zm9vYmFyYmF6cXV4Zm9vYmFy1 here"),
+    (15, "user=alice" + " pad" * 200 + " Zm9vYmFyYmF6cXV4Zm9vYmFy1"),
+]
+
+
+def test_base_spans_equal_brute_force(odd, docs_of):
+    rows = ODD + SECRETS
+    found = secret_scan.digest_secrets(docs_of(rows)).collect()
+    assert len(found) == len(rows)
+    want = {}
+    for doc, text in rows:
+        spans = base_spans(text)
+        want.setdefault(doc, []).append((*(sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    for r in found:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) in want[r.doc_id]
+        assert set(base_spans(dict(rows)[r.doc_id])) <= set(filter(None, r.spans.split(",")))
+    assert secret_scan.digest_secrets(odd.limit(0)).count() == 0
+
+
+def test_weak_parts_need_their_complements(docs_of):
+    spans = {r.doc_id: r.spans for r in secret_scan.digest_secrets(docs_of(SECRETS)).collect()}
+    assert {s.split(":")[0] for s in spans[13].split(",")} == {"account", "opaque", "endpoint"}
+    assert spans[14] == "" and spans[15] == ""
+
+
+def test_scan_has_no_python(docs_of):
+    df = secret_scan.digest_secrets(docs_of(SECRETS))
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    df = line_dedup.drop_boilerplate_lines(docs_of(SECRETS))
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def brute_hits(text, items, window=10):
+    words = decontaminate.words_of(text)
+    hit, found = set(), set()
+    for item, told in items:
+        its = decontaminate.words_of(told)
+        n = min(window, len(its))
+        for a in range(len(its) - n + 1 if its else 0):
+            for b in range(len(words) - n + 1):
+                if words[b : b + n] == its[a : a + n]:
+                    hit |= set(range(b, b + n))
+                    found.add(item)
+    return len(words), len(hit), found
+
+
+@pytest.mark.parametrize("block_words", [100_000, 25])
+def test_hits_equal_brute_force(spark, docs_of, block_words):
+    rng = random.Random(5)
+    item = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(str(k), item(rng.randint(1, 30) if k % 4 else rng.randint(4, 7))) for k in range(24) if k != 3]
+    items = [(k, t) for k, t in items if len(t.split()) > 3]
+    docs = [(k, item(rng.randint(0, 60)) + "! É-" + rng.choice(items)[1].upper()) for k in range(100, 140)] + ODD
+    bench = spark.createDataFrame([*items, items[0], ("n", None), (None, "a b c d"), ("e", "")], "item_id string, text string").withColumn("_row", F.lit(1))
+    found = decontaminate.digest_hits(docs_of(docs), bench, block_words=block_words).collect()
+    assert len(found) == len(docs)
+    want = {}
+    for doc, text in docs:
+        if len(text or "") < 1000:
+            n, hit, its = brute_hits(text, items)
+            want.setdefault(doc, []).append((n, hit, len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), hit > 0))
+    for r in found:
+        if r.doc_id in want:
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) in want[r.doc_id]
+
+
+def test_hits_are_cut(spark, docs_of):
+    passage = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    clean = " ".join(f"w{k}" for k in range(30))
+    docs = docs_of([(1, f"{clean}\n{passage.upper()}. {clean}"), (2, clean), (3, passage), (4, None), (5, "")])
+    found = {r.doc_id: r.text for r in decontaminate.remove_hits(docs, bench).collect()}
+    assert found == {1: f"{clean}\n. {clean}", 2: clean, 4: None, 5: ""}
+    assert decontaminate.remove_hits(docs, bench).columns == docs.columns
+    assert decontaminate.remove_hits(docs, bench.limit(0)).count() == 5
+
+
+def test_boilerplate_goes(docs_of):
+    rows = [(k, f"header\nbody {k}\n header \n\nfooter {k % 2}") for k in range(100, 140)]
+    out = line_dedup.drop_boilerplate_lines(docs_of(rows + ODD), max_ratio=0.6, min_pages=3)
+    found = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows + ODD)
+    assert found[100].text == "body 100\n\nfooter 0" and (found[100].n_lines, found[100].n_dropped) == (5, 2)
+    assert found[101].kept == "x" and (found[102].text, found[102].n_lines) == ("body 102\n\nfooter 0", 5)
+    assert line_dedup.drop_boilerplate_lines(docs_of([])).count() == 0
+    few = line_dedup.drop_boilerplate_lines(docs_of([(1, "a"), (2, "a"), (3, None)]))
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in few.collect()) == [(1, "a", 1, 0), (2, "a", 1, 0), (3, None, 0, 0)]
+
+
+def shingles(text, width):
+    words = (text or "").encode().lower().split()
+    n = min(width, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+
+
+def brute_components(rows, width, percent):
+    sets = [shingles(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    root[find(a)] = find(b)
+    least = {}
+    for k, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(k)] = min(doc, least.get(find(k), doc))
+    return [(doc, len(sets[k]), least.get(find(k)) if sets[k] else doc) for k, (doc, _) in enumerate(rows)]
+
+
+def copies(n, edits, seed, passage=""):
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(80)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, edits)):
+            words[rng.randrange(80)] = f"e{seed}x{k}x{rng.randint(0, 9)}"
+        out.append(passage + " ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_components_equal_brute_force(docs_of, width, percent):
+    passage = " ".join(f"p{k}" for k in range(60)) + " "
+    texts = copies(60, 6, 1) + copies(5, 2, 2) + copies(3, 0, 3) + [passage + " ".join(f"u{k}x{j}" for j in range(30)) for k in range(30)] + ["a b", "A  b", "a", "b a"]
+    rows = list(enumerate(texts, 100)) + [r for r in ODD if r[1] is None or len(r[1]) < 1000]
+    random.Random(0).shuffle(rows)
+    rule = bottomk.Rule(width, percent)
+    key = lambda r: tuple(map(str, r))
+    found = bottomk.digest_components(docs_of(rows), rule).collect()
+    want = brute_components(rows, width, percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(want, key=key)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_one_of_each_group_stays(docs_of):
+    rows = [(k, t) for k, t in enumerate(copies(8, 1, 4) * 2)] + [(3, copies(8, 1, 4)[3])] * 2 + [(50, None), (51, ""), (52, "lone text here")]
+    docs = docs_of(rows)
+    kept = bottomk.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 50, 51, 52]
+    again = docs_of([(7, "the same text of some words")] * 3)
+    assert bottomk.drop_near_duplicates(again).count() == 1
+    assert bottomk.drop_near_duplicates(again.limit(0)).count() == 0
