@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import each_row, settle, small
+from quarry.llm.common import apart, each_row, settle, small
 
 K = 64
 HOT = 16
@@ -264,12 +264,13 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame
     stays = settle(first.select("f._key").distinct())
     goes = settle(found.select("_key").distinct().join(stays, "_key", "left_anti"))
     twice = settle(found.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").join(stays, "_key", "left_semi").select("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(small(goes, 16), "_key", "left_anti")
+    rows, named = apart(docs, "doc_id", "text")
+    keyed = rows.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(small(goes, 16), "_key", "left_anti")
     again = small(twice, 16)
     out = keyed.join(again, "_key", "left_anti")
     if twice.take(1):  # rows that are equal in doc_id and text: any one of them stays
         out = out.unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return out.drop("_key")
+    return named(out)
 
 
 #: The digests in DuckDB: all pairs that share a shingle, then the closure of the links.

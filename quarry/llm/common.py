@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, *named: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with its columns beside ``named`` under names that no operator uses, and a
+    function that gives a result of it the old names and order back, with further columns."""
+    held = [c if c in named else f"_other{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*held), lambda out, *more: out.select(*held, *more).toDF(*df.columns, *more)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a settled ``df`` if its counted size allows it.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import each_row
+from quarry.llm.common import apart, each_row
 
 BITS = 18
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -271,4 +271,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return score(docs, fit(docs, labels), threshold).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, named = apart(docs, "doc_id", *VIEWED)
+    return named(score(rows, fit(docs, labels), threshold).where("kept"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import each_row, settle
+from quarry.llm.common import apart, each_row, settle
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -231,8 +231,9 @@ def digest_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with the hit spans cut out of their texts; those with more than ``max_coverage`` of their words hit go."""
-    found = _searched(docs, benchmark, window, block_words, True)
-    return found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, named = apart(docs, "text")
+    found = _searched(rows, benchmark, window, block_words, True)
+    return named(found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
 
 
 #: The digests in DuckDB, by an equi-join on windows.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle, small
+from quarry.llm.common import apart, settle, small
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -51,11 +51,12 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return often.groupBy("_host").agg(F.collect_list("_mark").alias("_drop"))
 
 
-def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The pages with boilerplate lines removed from ``text``; adds n_lines and n_dropped (long)."""
+def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """The pages with boilerplate lines removed from ``text``; ``counts`` adds n_lines and n_dropped (long), in place of columns so named."""
     found = settle(boilerplate(pages, host, text, max_ratio, min_pages))
     widest = found.agg(F.coalesce(F.max(F.size("_drop")), F.lit(0)).alias("n")).first()["n"]
-    joined = pages.join(small(found, 64 + 16 * widest), F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
+    rows, named = apart(pages.drop("n_lines", "n_dropped") if counts else pages, host, text)
+    joined = rows.join(small(found, 64 + 16 * widest), F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _mark(x)))
     some = F.col("_drop").isNotNull() & F.col(text).isNotNull()
@@ -64,8 +65,8 @@ def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "
     out = joined.withColumn("_kept", F.when(some, kept))
     dropped = F.when(some, n_lines - F.size("_kept")).otherwise(0).cast("long")
     shown = F.when(some & (dropped > 0), F.array_join("_kept", "\n")).otherwise(F.col(text))
-    made = {"n_lines": n_lines, "n_dropped": dropped, text: shown}
-    return out.withColumns({f"_new_{k}": v for k, v in made.items()}).select(*[F.col(f"_new_{c}").alias(c) if c in made else F.col(f"`{c}`") for c in pages.columns], *[F.col(f"_new_{c}").alias(c) for c in made if c not in pages.columns])
+    made = out.withColumns({"n_lines": n_lines, "n_dropped": dropped, text: shown})
+    return named(made, "n_lines", "n_dropped") if counts else named(made)
 
 
 #: The same in DuckDB.

@@ -99,6 +99,7 @@ def test_hits_are_cut(spark, docs_of):
     found = {r.doc_id: r.text for r in decontaminate.remove_hits(docs, bench).collect()}
     assert found == {1: f"{clean}\n. {clean}", 2: clean, 4: None, 5: ""}
     assert decontaminate.remove_hits(docs, bench).columns == docs.columns
+    assert {(r._spans, r.items, r.n_hit) for r in decontaminate.remove_hits(docs, bench).collect()} == {("a", "b", "c")}
     assert decontaminate.remove_hits(docs, bench.limit(0)).count() == 5
 
 
@@ -110,6 +111,8 @@ def test_boilerplate_goes(docs_of):
     assert found[100].text == "body 100\n\nfooter 0" and (found[100].n_lines, found[100].n_dropped) == (5, 2)
     assert found[101].kept == "x" and (found[102].text, found[102].n_lines) == ("body 102\n\nfooter 0", 5)
     assert line_dedup.drop_boilerplate_lines(docs_of([])).count() == 0
+    plain = line_dedup.drop_boilerplate_lines(docs_of(rows), max_ratio=0.6, min_pages=3, counts=False)
+    assert plain.columns == docs_of(rows).columns and {(r._host, r._drop, r._kept, r.n_lines) for r in plain.collect()} == {tuple("defg")}
     few = line_dedup.drop_boilerplate_lines(docs_of([(1, "a"), (2, "a"), (3, None)]))
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in few.collect()) == [(1, "a", 1, 0), (2, "a", 1, 0), (3, None, 0, 0)]
 
