@@ -24,7 +24,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.drop_boilerplate_lines(docs).select(*docs.columns))
+    return _measured(line_dedup.drop_boilerplate_lines(docs, counts=False))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
