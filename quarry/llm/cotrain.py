@@ -7,8 +7,9 @@ beyond ``confident``, documents of an unlabelled pool for the other. At the end
 scores are calibrated on held-out labelled rows and combined to score all documents.
 
 The fit uses a bounded sample: at most ``labelled`` labelled and ``pool`` unlabelled
-rows, the ones whose hashed id comes first. Scoring covers every row. A row is
-good if its quality is 1 and it isn't toxic.
+rows, the ones whose hashed id comes first. Tasks turn their texts into counted
+features, and one task fits the model on these; the driver gets the model alone.
+Scoring covers every row. A row is good if its quality is 1 and it isn't toxic.
 
 Defined results: null text, source or language count as empty and a null length
 as the text's own; labels with a null field or for unknown documents are ignored,
@@ -20,6 +21,7 @@ repeated rows are scored each for itself; other columns pass through.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -40,6 +42,7 @@ MARKS = b"#*$%&|<>"
 PLACES = 64
 LEAST_RATIO = 1.2
 LEAST_SUPPORT = 4
+REMEMBERED = 100_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -80,32 +83,51 @@ def metadata_view(text: str | None, source: str | None, lang: str | None, n_char
     return out + places
 
 
+class _Features(dict):
+    """Word -> its features, for as many words as ``REMEMBERED``."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = out = word_features(word)
+        return out
+
+
+_FEATURES = _Features()
+
+
+def count_features(words: list[bytes]) -> tuple[bytes, bytes]:
+    """The features of a text's words (int32) and how often each occurs (float32)."""
+    counts: Counter = Counter()
+    for w, c in Counter(words).items():
+        for f in _FEATURES[w]:
+            counts[f] += c
+    return np.fromiter(counts.keys(), "<i4", len(counts)).tobytes(), np.fromiter(counts.values(), "<f4", len(counts)).tobytes()
+
+
 class _Sparse:
     """Rows of counts over the square root of the number of words."""
 
-    def __init__(self, rows: list[list[bytes]]):
-        index, value, often, ends = [], [], [], []
-        known: dict[bytes, list[int]] = {}
-        for words in rows:
-            counts: Counter = Counter()
-            for w, c in Counter(words).items():
-                if w not in known:
-                    known[w] = word_features(w)
-                for f in known[w]:
-                    counts[f] += c
-            index.append(np.fromiter(counts.keys(), np.int32, len(counts)))
-            value.append(np.fromiter(counts.values(), np.float32, len(counts)) / math.sqrt(max(1, len(words))))
-            often.append(np.minimum(10, np.fromiter(counts.values(), np.float32, len(counts))))
-            ends.append(len(counts))
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), ends)
-        self.index = np.concatenate([np.zeros(0, np.int32), *index])
-        self.value = np.concatenate([np.zeros(0, np.float32), *value])
-        self.often = np.concatenate([np.zeros(0, np.float32), *often])
-        self.n = len(rows)
+    def __init__(self, row: np.ndarray, index: np.ndarray, count: np.ndarray, per_word: np.ndarray):
+        self.row, self.index, self.count, self.per_word, self.n = row, index, count, per_word, len(per_word)
+        self.value = count * per_word[row]
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, bytes, int]]) -> _Sparse:
+        """From rows of ``count_features`` and a number of words."""
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) // 4 for r in rows])
+        words = np.array([max(1, r[2]) for r in rows], float)
+        return cls(row, np.frombuffer(b"".join(r[0] for r in rows), "<i4"), np.frombuffer(b"".join(r[1] for r in rows), "<f4"), (1 / np.sqrt(words)).astype(np.float32))
+
+    def only(self, used: np.ndarray) -> _Sparse:
+        """Without the features that aren't ``used``."""
+        kept = used[self.index]
+        return _Sparse(self.row[kept], self.index[kept], self.count[kept], self.per_word)
 
     def scale(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Log ratio of a feature's use in the two classes; features of few documents or with a small ratio count as none."""
-        use = [np.bincount(self.index, ((weight * (y == c))[self.row] * self.often), 1 << BITS) for c in (1, 0)]
+        often = np.minimum(10, self.count)
+        use = [np.bincount(self.index, ((weight * (y == c)).astype(np.float32)[self.row] * often), 1 << BITS) for c in (1, 0)]
         share = [(u + 0.5) / max(1.0, weight[y == c].sum()) for u, c in zip(use, (1, 0), strict=True)]
         support = np.bincount(self.index, (weight > 0)[self.row], 1 << BITS)
         ratio = np.log(share[0] / share[1])
@@ -122,6 +144,9 @@ class _Dense:
     def __init__(self, rows: list[list[float]]):
         self.x = np.array(rows, float).reshape(len(rows), -1)
 
+    def only(self, used: np.ndarray) -> _Dense:
+        return self
+
     def scale(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         return np.ones(self.x.shape[1])
 
@@ -139,6 +164,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_logistic(x, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias by AdaGrad over all rows; ``weight`` 0 leaves a row out, classes weigh the same."""
     scale = x.scale(y, weight)
+    x = x.only(scale != 0)  # features of scale 0 get no weight
     w, b = np.zeros(size), 0.0
     hist, hist_b = np.full(size, 1e-8), 1e-8
     weight = weight * np.where(y > 0, 1 / max(1e-9, weight[y > 0].sum()), 1 / max(1e-9, weight[y <= 0].sum())) / 2
@@ -171,12 +197,12 @@ class Model:
     blend: np.ndarray
 
 
-def cotrain(texts: list[list[bytes]], metas: list[list[float]], y: np.ndarray, held: np.ndarray, rounds: int = 3, exchange: int = 200, confident: float = 0.98) -> Model | None:
+def cotrain(texts: list[tuple[bytes, bytes, int]], metas: list[list[float]], y: np.ndarray, held: np.ndarray, rounds: int = 3, exchange: int = 200, confident: float = 0.98) -> Model | None:
     """Fit both views; ``y`` is 1, 0 or nan (unlabelled), ``held`` marks rows for calibration only."""
     train, known = ~np.isnan(y) & ~held, ~np.isnan(y)
     if min(map(len, map(set, (y[train], y[held & known])))) < 2:
         return None
-    views = [(_Sparse(texts), 1 << BITS), (_Dense(metas), len(metas[0]))]
+    views = [(_Sparse.of(texts), 1 << BITS), (_Dense(metas), len(metas[0]))]
     labels = [np.where(train, y, 0.0) for _ in views]
     weights = [train.astype(float) for _ in views]
     fits = [None, None]
@@ -214,26 +240,47 @@ class _Weights(dict):
 VIEWED = ("text", "source", "lang", "n_chars")
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> list[tuple]:
-    """At most ``labelled`` labelled and ``pool`` other rows, the first by hashed id: (text, source, lang, n_chars, y, held)."""
+def sample_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
+    """At most ``labelled`` labelled and ``pool`` other rows, the first by hashed id: doc_id, _order, _good and what the views see."""
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample")).alias("_order"))
     told = rows.where("_id is not null").join(marks, "_id", "left")
     first = told.where("_good is not null").orderBy("_order", "_id").limit(labelled).unionByName(told.where("_good is null").orderBy("_order", "_id").limit(pool)).dropDuplicates(["_id"])
     # at most labelled + pool ids, so the texts come by one broadcast
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c) for c in VIEWED]).join(F.broadcast(first), "_id")
-    taken = {r["_id"]: r for r in chosen.toLocalIterator()}
-    return [(r["text"], r["source"], r["lang"], r["n_chars"], float("nan") if r["_good"] is None else float(r["_good"]), r["_order"] % 4 == 0) for r in sorted(taken.values(), key=lambda r: (r["_order"], r["_id"]))]
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c) for c in VIEWED]).join(F.broadcast(first), "_id")
+
+
+SAMPLED = pa.schema([("id", pa.int64()), ("order", pa.int64()), ("good", pa.int32()), ("index", pa.binary()), ("count", pa.binary()), ("words", pa.int64()), ("meta", pa.list_(pa.float64()))])
+
+
+def sampled_features(rows: DataFrame) -> DataFrame:
+    """Both views of ``sample_rows`` as numbers."""
+
+    def view(batches):
+        for batch in batches:
+            out = []
+            for i, order, good, *seen in each_row([batch], "_id", "_order", "_good", *VIEWED):
+                words = text_view(seen[0])
+                out.append((i, order, good, *count_features(words), len(words), metadata_view(*seen)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SAMPLED, strict=True)], schema=SAMPLED)
+
+    return rows.mapInArrow(view, "id long, order long, good int, index binary, count binary, words long, meta array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 1500) -> Model | None:
-    rows = sample_rows(docs, labels, labelled, pool)
-    if not rows:
-        return None
-    texts = [text_view(r[0]) for r in rows]
-    metas = [metadata_view(*r[:4]) for r in rows]
-    return cotrain(texts, metas, np.array([r[4] for r in rows]), np.array([r[5] for r in rows]))
+    def train(batches):
+        # by hashed id; of repeated ids one row
+        rows = {r[1]: r for r in sorted(each_row(batches, "order", "id", "good", "index", "count", "words", "meta"))}.values()
+        rows = sorted(rows)
+        if rows:
+            y = np.array([math.nan if r[2] is None else float(r[2]) for r in rows])
+            model = cotrain([r[3:6] for r in rows], [r[6] for r in rows], y, np.array([r[0] % 4 == 0 for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sampled_features(sample_rows(docs, labels, labelled, pool)).repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep_columns: bool = True) -> DataFrame:
