@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, each_row, settle, small
+from quarry.llm.common import apart, each_row, in_arrow, settle, small
 
 K = 64
 HOT = 16
 DEVIATIONS = 6
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return _keyed(docs).mapInArrow(sketch, "doc_id long, _key long, n_shingles long, node long, sketch array<long>")
+    return in_arrow(_keyed(docs), sketch, "doc_id long, _key long, n_shingles long, node long, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
@@ -126,7 +126,7 @@ def whole_sets(docs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, schema.field(1).type)], schema=schema)
 
     wanted = _keyed(docs).join(small(keys, 16), "_key", "left_semi").select("text")
-    return wanted.mapInArrow(collect, "node long, shingles array<long>").dropDuplicates(["node"])
+    return in_arrow(wanted, collect, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _pairs_of_lists(postings: DataFrame, admitted) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: Used only where the session names no shared folder (tests, notebooks).
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Spark's own number of rows in an Arrow batch, and ours: texts are long.
+ARROW_ROWS, SPARK_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,17 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` in batches that hold few texts, unless the session has its own size.
+
+    A batch is built outside the heap, once on each side, so its size counts twice in a task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == SPARK_ROWS:
+        conf.set(ARROW_ROWS, TEXT_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def each_row(batches: Iterable, *names: str) -> Iterator[tuple]:
     """The named columns of Arrow batches, row by row."""
     for batch in batches:

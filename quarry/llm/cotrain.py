@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import apart, each_row
+from quarry.llm.common import apart, each_row, in_arrow
 
 BITS = 18
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -231,7 +231,7 @@ class _Weights(dict):
         self.w = w
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = s = float(self.w[word_features(word)].sum())
         return s
@@ -266,7 +266,7 @@ def sampled_features(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SAMPLED, strict=True)], schema=SAMPLED)
 
-    return rows.mapInArrow(view, "id long, order long, good int, index binary, count binary, words long, meta array<double>")
+    return in_arrow(rows, view, "id long, order long, good int, index binary, count binary, words long, meta array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 1500) -> Model | None:
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 15
             model = cotrain([r[3:6] for r in rows], [r[6] for r in rows], y, np.array([r[0] % 4 == 0 for r in rows]))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = sampled_features(sample_rows(docs, labels, labelled, pool)).repartition(1).mapInArrow(train, "model binary").collect()
+    found = in_arrow(sampled_features(sample_rows(docs, labels, labelled, pool)).repartition(1), train, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep_col
                 made = [pa.array(c, pa.bool_() if f.name == "kept" else pa.float64()) for c, f in zip(zip(*out, strict=True), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[f.name for f in [*kept, *added]])
 
-    return docs.mapInArrow(rate, T.StructType([*kept, *added]))
+    return in_arrow(docs, rate, T.StructType([*kept, *added]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import apart, each_row, settle
+from quarry.llm.common import apart, each_row, in_arrow, settle
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -204,7 +204,7 @@ def _pass(rows: DataFrame, block: list, window: int, last: bool, cut: bool) -> D
             columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())] if last else []
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*kept, *added, *counts]])
 
-    return rows.mapInArrow(search, T.StructType([*kept, *added, *counts]))
+    return in_arrow(rows, search, T.StructType([*kept, *added, *counts]))
 
 
 def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, cut: bool) -> DataFrame:

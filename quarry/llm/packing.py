@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import each_row, settle, small
+from quarry.llm.common import each_row, in_arrow, settle, small
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,7 +76,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -247,4 +247,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             kept = [b.column(b.schema.get_field_index(n)) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequences[k] + rank - ranks[k]), pa.array(offsets[k])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked, locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

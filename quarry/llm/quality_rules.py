@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import each_row, settle, small
+from quarry.llm.common import each_row, in_arrow, settle, small
 from quarry.llm.cotrain import BEGINNINGS, LETTERS
 
 #: Characters that count as symbols; fixed values.
@@ -179,7 +179,7 @@ def measured(docs: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def base_failed() -> Column:
