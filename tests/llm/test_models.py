@@ -201,3 +201,11 @@ def test_entry_has_all_training_data_queries():
     assert "pipeline" in names
 
 
+def test_the_shortlist_grows_with_the_vocabulary(spark):
+    for size in (400, 4000):
+        words = [(f"w{k}".encode(), gru_lm.bucket(f"w{k}".encode()), 9 if k < size // 2 else 3) for k in range(size)]
+        lexicon = gru_lm.fit_lexicon(spark.createDataFrame(words, "word binary, bucket int, n long"), 4, 5000)
+        least = sorted((n for *_, n in words), reverse=True)
+        assert lexicon.short_counts.sum() >= gru_lm.COVERED * lexicon.tokens
+        assert len(lexicon.ids) == next(k for k in range(size) if sum(least[:k]) >= gru_lm.COVERED * lexicon.tokens)
+        assert lexicon.n_short >= len(lexicon.ids)
