@@ -50,6 +50,21 @@ def test_weak_parts_need_their_complements(docs_of):
     assert spans[14] == "" and spans[15] == ""
 
 
+def test_weak_parts_of_any_length_are_whole(docs_of):
+    token, end, name = "aB3x" * 41, "https://" + "h" * 392, "n" * 80
+    rows = [
+        (1, f"user=alice {token}"),
+        (2, f"user=alice secret=abcdefghij {end}"),
+        (3, f"user={name} {token}"),
+        (4, f"user=alice {token * 1000}== " + end + "h" * 100_000),
+    ]
+    spans = {r.doc_id: r.spans.split(",") for r in secret_scan.digest_secrets(docs_of(rows)).collect()}
+    assert spans[1] == ["account:0:10", "opaque:11:175"]
+    assert spans[2][-1] == "endpoint:29:429"
+    assert spans[3] == ["account:0:85", "opaque:86:250"]
+    assert spans[4] == ["account:0:10", "opaque:11:164013"]  # no account is near the endpoint
+
+
 def test_scan_has_no_python(docs_of):
     df = secret_scan.digest_secrets(docs_of(SECRETS))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
