@@ -82,6 +82,14 @@ def test_encoding_equals_the_tokenizer(text):
     assert packing.encode_text(text, packing.tokenizer_path()) == np.array(ids_of(text), "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000])
+def test_added_tokens_and_long_white_space_are_encoded_as_by_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert packing.encode_text(text, packing.tokenizer_path()) == np.array([*ids, 0], "<u4").tobytes()
+
+
 def check_packing(rows, texts, capacity):
     by_place, pieces = {}, {}
     for r in rows:
