@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def settle(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in folders ``by`` some columns if named, and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, and fixes
     whatever the plan could compute differently a second time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
