@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured rows times a row's width stay below this.
 BROADCAST_BYTES = 24 << 20
-#: Used only where the session names no shared folder (tests, notebooks).
-FALLBACK_DIR = "/tmp/checkpoints"
 #: Spark's own number of rows in an Arrow batch, and ours: texts are long.
 ARROW_ROWS, SPARK_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
@@ -21,26 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local session without one gets its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(FALLBACK_DIR)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and bare path of a URI or a local path."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+#: Folders of working data that this process wrote, in order; those left are removed when it ends.
+_FOLDERS: ContextVar[list[str]] = ContextVar("folders", default=[])
+
+
+def new_folder(spark: SparkSession, name: str = "quarry") -> str:
+    """A folder of working data in the shared folder, removed at the end of the driver's process or by ``swept``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.get().append(path)
+    return path
+
+
+def remove_folders(paths: list[str]) -> None:
+    while paths:
+        store, top = place(paths.pop())
+        with suppress(OSError):  # gone, or never written
+            store.delete_dir(top)
+
+
+atexit.register(remove_folders, _FOLDERS.get())
+
+
+@contextmanager
+def swept() -> Iterator[list[str]]:
+    """Gathers the folders that the block makes; those still in the list go to the outer one."""
+    outer, own = _FOLDERS.get(), []
+    mark = _FOLDERS.set(own)
+    try:
+        yield own
+    finally:
+        _FOLDERS.reset(mark)
+        outer.extend(own)
+
+
 def settle(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder, in folders ``by`` some columns if named, and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, and fixes
     whatever the plan could compute differently a second time.
     """
+    return settled(df, *by)[0]
+
+
+def settled(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """As ``settle``, with the folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def apart(df: DataFrame, *named: str) -> tuple[DataFrame, Callable[..., DataFrame]]:

@@ -1,22 +1,33 @@
 """WARC archives: a two-phase writer and a splittable reader as Spark data sources.
 
 Every record is a gzip member of its own. A reading task gets a byte range, looks
-for the gzip magic, validates a candidate by decoding its first bytes into a
-``WARC/1.`` header, and owns every record that starts inside its range, reading
-past the end of the range for the last one. The writer's tasks write files with
-names of their own and the commit lists them in ``_MANIFEST``; files that a lost
-or repeated task leaves are not in it and are never read.
+for the gzip magic and validates a candidate: it must decode, under the member's
+checksum, to a ``WARC/`` header whose Content-Length fits, and a further magic or
+the end of the file must follow. In a range that starts inside a file, the members
+from the first candidate on must in this way lead up to the range's end or to a
+damaged one, as a payload may itself hold archives; else the next candidate is tried. The task owns
+every record that starts inside its range, reading past its end for the last one.
+Records of all types come back with their headers; an HTTP head is split off where
+the content type names one.
+
+The writer's tasks write files with names of their own and the commit lists them
+in ``_MANIFEST``; files that a lost or repeated task leaves are not in it and are
+never read.
 
 Defined results: a null payload is empty; an empty table gives an archive
 without records; payloads under ``min_bytes`` are always responses; repeated rows
 of a group's smallest page id are all responses; a group whose page ids are all
-null has no page to refer to and stays responses; other columns are ignored.
+null has no page to refer to and stays responses; a payload or header may have any
+length (a task holds its range and one record); a member that is damaged, cut
+short or no WARC record is stepped over; missing headers are null; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,18 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from quarry.llm.common import settle, shared_dir, small
+from quarry.llm.common import new_folder, place, settle, small
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 16
 MANIFEST = "_MANIFEST"
 WRITTEN = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, file string, position long"
-
-
-def place(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and bare path of a URI or a local path."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+RECORD = "page_id long, record_id string, record_type string, url string, headers map<string,string>, http string, payload binary, payload_bytes long, payload_digest string, refers_to string, file string, position long"
+#: Record ids of this writer.
+PAGE_ID = r"^<urn:x-page:(-?[0-9]+)>$"
 
 
 def record_bytes(row) -> bytes:
@@ -62,27 +70,45 @@ def record_bytes(row) -> bytes:
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n") + squeeze.flush()
 
 
-def _headers(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+def _headers(lines: bytes) -> dict[str, str]:
+    """Names in lower case and values; a line that begins with white space goes on with the one before."""
+    out, last = {}, None
+    for line in lines.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
 
 
-def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(number) if number else None
+def _number(told: str | None) -> int | None:
+    return int(told) if told and told.isascii() and told.isdigit() else None
 
 
-def parse_record(raw: bytes) -> tuple:
-    """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to) of a decoded member."""
-    top, _, rest = raw.partition(b"\r\n\r\n")
+def parse_record(raw: bytes) -> tuple | None:
+    """(page_id, record_id, record_type, url, headers, http, payload, payload_bytes, payload_digest, refers_to) of a decoded member, or None if it is no record.
+
+    ``page_id`` is null in records of other writers. Of a revisit, bytes and digest are those of the payload it stands for, as far as its headers tell.
+    """
+    top, end, rest = raw.partition(b"\r\n\r\n")
+    if not top.startswith(b"WARC/") or not end:
+        return None
     warc = _headers(top)
-    block = rest[: int(warc["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page, url, kind = _page(warc.get("warc-record-id")), warc.get("warc-target-uri"), warc["warc-type"]
-    if kind == "response":
-        return page, url, kind, payload, len(payload), hashlib.sha256(payload).hexdigest(), None
-    told = int(_headers(http)["content-length"])
-    return page, url, kind, None, told, warc["warc-payload-digest"].removeprefix("sha256:"), _page(warc.get("warc-refers-to"))
+    size = _number(warc.get("content-length"))
+    if size is None or size > len(rest):
+        return None
+    payload, http, kind = rest[:size], None, warc.get("warc-type")
+    if (warc.get("content-type") or "").lower().startswith("application/http"):
+        head, _, payload = payload.partition(b"\r\n\r\n")
+        http = head.decode("utf-8", "replace")
+    page = re.fullmatch(PAGE_ID, warc.get("warc-record-id", ""))
+    told = (int(page[1]) if page else None, warc.get("warc-record-id"), kind, warc.get("warc-target-uri"), warc, http)
+    if kind == "revisit":
+        digest = warc.get("warc-payload-digest")
+        return *told, None, _number(_headers(head).get("content-length")) if http is not None else None, digest and digest.removeprefix("sha256:"), warc.get("warc-refers-to")
+    return *told, payload, len(payload), hashlib.sha256(payload).hexdigest(), None
 
 
 @dataclass
@@ -99,7 +125,7 @@ class _Window:
     """Bytes of a file from a position on, fetched in chunks."""
 
     def __init__(self, source, position: int):
-        self.source, self.base, self.data = source, position, b""
+        self.source, self.base, self.data = source, position, bytearray()
         source.seek(position)
 
     def more(self) -> bool:
@@ -107,53 +133,73 @@ class _Window:
         self.data += got
         return bool(got)
 
-    def drop_to(self, position: int) -> None:
-        self.data, self.base = self.data[position - self.base :], position
+    def find(self, at: int, end: int) -> int | None:
+        """The first magic that starts in [at, end)."""
+        while True:
+            found = self.data.find(MAGIC, at - self.base, end - self.base + len(MAGIC) - 1)
+            if found >= 0:
+                return self.base + found
+            at = max(at, self.base + len(self.data) - len(MAGIC) + 1)
+            if at >= end or not self.more():
+                return None
+
+    def follows(self, at: int) -> bool:
+        """Whether a magic or the end of the file is at ``at``."""
+        while len(self.data) < at - self.base + len(MAGIC) and self.more():
+            pass
+        return bytes(self.data[at - self.base : at - self.base + len(MAGIC)]) in (MAGIC, b"")
+
 
+#: A member that begins as gzip but doesn't decode.
+DAMAGED = ()
 
-def _begins(window: _Window, at: int) -> bool:
-    """Whether a WARC record's member starts at ``at``: its first bytes must decode to a header."""
-    while len(window.data) < at - window.base + 512 and window.more():
-        pass
+
+def _member(window: _Window, at: int) -> tuple[bytes, int] | tuple[()] | None:
+    """The decoded member that starts at ``at`` and the position after it if it is a whole WARC record, else DAMAGED or None."""
+    decode, out, size, done = zlib.decompressobj(31), [], 0, at - window.base
     try:
-        return zlib.decompressobj(31).decompress(window.data[at - window.base : at - window.base + 512], 16).startswith(b"WARC/1.")
+        while not decode.eof:
+            if done == len(window.data) and not window.more():
+                return DAMAGED
+            fed = bytes(window.data[done : done + CHUNK])
+            done += len(fed)
+            out.append(decode.decompress(fed))
+            size += len(out[-1])
+            if size >= 5 and size - len(out[-1]) < 5 and not b"".join(out).startswith(b"WARC/"):
+                return None
     except zlib.error:
-        return False
+        return DAMAGED
+    raw, after = b"".join(out), window.base + done - len(decode.unused_data)
+    return (raw, after) if parse_record(raw) and window.follows(after) else None
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int]:
-    """The decoded member that starts at ``at`` and the position after it."""
-    window.drop_to(at)
-    decode, out, done = zlib.decompressobj(31), [], 0
-    while not decode.eof:
-        if done == len(window.data) and not window.more():
-            raise EOFError(f"a gzip member at byte {at} has no end")
-        out.append(decode.decompress(window.data[done:]))
-        done = len(window.data)
-    return b"".join(out), at + done - len(decode.unused_data)
+def _leads_on(window: _Window, at: int, end: int) -> bool:
+    """Whether whole records follow each other from ``at`` to ``end``, to the end of the file or to a damaged one."""
+    begin = at
+    while at < end:
+        found = _member(window, at)
+        if not found:
+            return found is not None and at > begin
+        at = found[1]
+        if at - window.base >= len(window.data):
+            return True
+    return True
 
 
 def records_in(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(position, decoded record) of the members that start in [start, end)."""
-    window, at = _Window(source, start), start
-    while at < end:
-        window.drop_to(at)
-        found = window.data.find(MAGIC)
-        if found < 0:
-            keep = at + max(0, len(window.data) - 2)
-            if not window.more():
-                return
-            at = keep
-            continue
-        at += found
-        if at >= end:
-            return
-        if _begins(window, at):
-            raw, after = _member(window, at)
-            yield at, raw
-            at = after
-        else:
-            at += 1
+    window, at, sure = _Window(source, start), start, start == 0
+    first, tried = window.find(at, end), None
+    if not sure:  # the first candidate from which records lead up to the end; without one, each stands for itself
+        tried = first
+        while tried is not None and not _leads_on(window, tried, end):
+            tried = window.find(tried + 1, end)
+    at = first if tried is None else tried
+    while at is not None and at < end:
+        found = _member(window, at)
+        if found:
+            yield at, found[0]
+        at = window.find(found[1] if found else at + 1, end)
 
 
 class WarcReader(DataSourceReader):
@@ -273,10 +319,9 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -
 def archive_round_trip(pages: DataFrame, min_bytes: int = 100, split_bytes: int = 4 << 20) -> DataFrame:
     """Archive the pages in the shared folder and describe the records that read back."""
     spark = pages.sparkSession
-    path = write_archives(pages, f"{shared_dir(spark)}/quarry-warc-{uuid.uuid4().hex}", min_bytes)
-    return read_archives(spark, path, split_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
+    path = write_archives(pages, new_folder(spark, "quarry-warc"), min_bytes)
+    refers_to = F.regexp_extract("refers_to", PAGE_ID, 1).try_cast("long").alias("refers_to")
+    return read_archives(spark, path, split_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", refers_to)
 
 
 #: What reads back, in DuckDB.
