@@ -5,31 +5,38 @@ through it and the longest matching length is tracked. Where it reaches the
 window length, or a short item ends, the matched words are hit. Spans of hits are
 removed from the text; a document whose hits exceed a coverage limit goes.
 
-Items are dealt into blocks of a bounded number of words. Each block is one
-automaton and one pass over the documents, so neither the driver nor a task ever
-holds more than a block, however large the set of items.
+Items are dealt by hash into blocks of about ``BLOCK_WORDS`` words. Tasks build one
+automaton for each block and write them to the shared folder. The documents then
+go through one Python function, which gathers ``GATHERED`` bytes of texts, loads
+one automaton after the other and streams the words of these texts through it. So
+neither the driver nor a task ever holds more than one block's automaton, however
+large the set of items.
 
 Defined results: a null text has no words; an item without words or id is
-ignored; items with equal ids count once; an empty table of documents or items
-gives an empty result or no hits; repeated documents are searched each for
-itself; other columns pass through.
+ignored; items with equal ids and texts count once, equal ids with different texts
+are one item; an empty table of documents or items gives an empty result or no
+hits; repeated documents are searched each for itself; a very long text is
+searched whole; overlapping hits of several items are one span; other columns,
+whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import apart, each_row, in_arrow, settle
+from quarry.llm.common import apart, each_row, in_arrow, place, settle, settled
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+GATHERED = 16 << 20
 MAX_COVERAGE = 0.5
 #: Bytes that are not digits, letters or beyond ASCII become spaces; A-Z become a-z.
 FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -132,30 +139,48 @@ class Automaton:
         return [tuple(s) for s in spans], found
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_words`` words, or one item, each fetched for itself."""
+def build_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[str, list[int]]:
+    """A folder with an automaton for each block of items, and the blocks' numbers."""
     items = settle(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct())
-    block: list = []
-    size = 0
-    for row in items.toLocalIterator():
-        words = words_of(row.text)
-        if size + len(words) > block_words and block:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row.item_id, words))
-            size += len(words)
-    if block:
-        yield block
+    # a word and the sign after it have two bytes at least; most have six or so
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // (6 * block_words)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).repartition(min(blocks, 10_000), "block").sortWithinPartitions("block", "item_id", "text")
 
+    def build(batches):
+        def told(block, own):
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pickle.dumps(Automaton(own, window), 5)], pa.large_binary())], names=["block", "automaton"])
 
-_BUILT: dict[str, Automaton] = {}  # the last automaton of this worker process
+        last, own = None, []
+        for block, item, text in each_row(batches, "block", "item_id", "text"):
+            if block != last and own:
+                yield told(last, own)
+                own = []
+            last = block
+            own.append((item, words_of(text)))
+        if own:
+            yield told(last, own)
 
+    built, path = settled(in_arrow(dealt, build, "block int, automaton binary"), "block")
+    return path, sorted(r["block"] for r in built.select("block").collect())  # a number for each block
 
-def _merged(spans: list[int]) -> list[tuple[int, int]]:
-    """Flat spans as disjoint (start, end) in order."""
+
+_LOADED: dict[tuple[str, int], Automaton] = {}  # the last automaton of this worker process
+
+
+def _automaton(path: str, block: int) -> Automaton:
+    if (path, block) not in _LOADED:
+        _LOADED.clear()
+        store, top = place(path)
+        told = ds.dataset(f"{top}/block={block}", filesystem=store, format="parquet").to_table(columns=["automaton"])
+        _LOADED[path, block] = pickle.loads(told["automaton"][0].as_buffer())
+    return _LOADED[path, block]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as disjoint (start, end) in order."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted(zip(spans[::2], spans[1::2], strict=True)):
+    for start, end in sorted(spans):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -175,45 +200,50 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _pass(rows: DataFrame, block: list, window: int, last: bool, cut: bool) -> DataFrame:
-    """One block's pass: adds to ``_spans`` and ``items``; the last one counts, and cuts or drops the text."""
-    context = rows.sparkSession.sparkContext
-    shared, mark = context.broadcast(block), hashlib.sha256(repr((block, window)).encode()).hexdigest()
-    kept = [f for f in rows.schema.fields if f.name not in ("_spans", "items") and (cut or not last or f.name != "text")]
-    added = [T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    counts = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())] if last else []
-
-    def search(batches):
-        if mark not in _BUILT:
-            _BUILT.clear()
-            _BUILT[mark] = Automaton(shared.value, window)
-        automaton = _BUILT[mark]
-        for batch in batches:
-            spans, items, n_words, n_hit, texts = [], [], [], [], []
-            for text, had, had_items in each_row([batch], "text", "_spans", "items"):
-                words = words_of(text)
-                new, found = automaton.hits(words)
-                spans.append([*had, *(x for s in new for x in s)] if new else had)
-                items.append(sorted({*had_items, *found}) if found else had_items)
-                n_words.append(len(words))
-                merged = _merged(spans[-1]) if last else []
-                n_hit.append(sum(e - s for s, e in merged))
-                texts.append(_cut(text, merged) if cut and merged else text)
-            columns = [pa.array(texts, pa.string()) if f.name == "text" and cut and last else batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            columns += [pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())] if last else []
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*kept, *added, *counts]])
-
-    return in_arrow(rows, search, T.StructType([*kept, *added, *counts]))
+def _gathered(batches) -> Iterator[list[pa.RecordBatch]]:
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, cut: bool) -> DataFrame:
-    rows = rows.withColumns({"_spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    blocks = item_blocks(benchmark, block_words)
-    block = next(blocks, [])
-    while (after := next(blocks, None)) is not None:
-        rows, block = _pass(rows, block, window, False, cut), after
-    return _pass(rows, block, window, True, cut)
+    """``rows`` with items, n_words and n_hit; the text goes, or loses its hits if it is to be ``cut``."""
+    path, blocks = build_blocks(benchmark, window, block_words)
+    kept = [f for f in rows.schema.fields if cut or f.name != "text"]
+    added = [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())]
+
+    def search(batches):
+        for group in _gathered(batches):
+            texts = [text for (text,) in each_row(group, "text")]
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            items: list[set[str]] = [set() for _ in texts]
+            n_words = [0] * len(texts) if blocks else [len(words_of(t)) for t in texts]
+            for block in blocks:
+                automaton = _automaton(path, block)
+                for k, text in enumerate(texts):
+                    words = words_of(text)
+                    n_words[k] = len(words)
+                    new, found = automaton.hits(words)
+                    spans[k] += new
+                    items[k] |= found
+            merged, at = [_merged(s) for s in spans], 0
+            for batch in group:
+                own = slice(at, at + batch.num_rows)
+                at = own.stop
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+                if cut:
+                    column = [f.name for f in kept].index("text")
+                    columns[column] = pa.array([_cut(t, m) if m else t for t, m in zip(texts[own], merged[own], strict=True)], pa.string())
+                columns += [pa.array(map(sorted, items[own]), pa.list_(pa.string())), pa.array(n_words[own], pa.int64()), pa.array([sum(e - s for s, e in m) for m in merged[own]], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*kept, *added]])
+
+    return in_arrow(rows, search, T.StructType([*kept, *added]))
 
 
 def digest_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
