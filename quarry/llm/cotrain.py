@@ -1,21 +1,25 @@
 """Quality classifier by co-training.
 
-Two logistic models see a document through separate views: its words (hashed
-whole words and word beginnings) and its page metadata (source, language, length
-and layout). Over rounds each one labels, where its calibrated probability is
-beyond ``confident``, documents of an unlabelled pool for the other. At the end both
-scores are calibrated on held-out labelled rows and combined to score all documents.
-
-The fit uses a bounded sample: at most ``labelled`` labelled and ``pool`` unlabelled
-rows, the ones whose hashed id comes first. Tasks turn their texts into counted
+Two logistic models see a document through separate views: its text (hashed whole
+words and word beginnings, and measures of its layout) and its page metadata
+(source, language and stated length, none of it read from the text). Over rounds
+each one labels, where its calibrated probability is beyond ``confident``,
+documents of an unlabelled pool for the other. At the end both scores are
+calibrated on held-out labelled rows and combined to score all documents.
+
+The fit uses a bounded sample: at most ``labelled`` labelled (4000) and ``pool``
+unlabelled rows (1500), the ones whose hashed id comes first; a round hands over at
+most ``exchange`` (200) rows of each class. Tasks turn their texts into counted
 features, and one task fits the model on these; the driver gets the model alone.
 Scoring covers every row. A row is good if its quality is 1 and it isn't toxic.
 
 Defined results: null text, source or language count as empty and a null length
-as the text's own; labels with a null field or for unknown documents are ignored,
-of repeated labels the worst counts; without both classes among the labels all
-documents get probability 1 and stay; an empty table gives an empty result;
-repeated rows are scored each for itself; other columns pass through.
+as 0; labels with a null field or for unknown documents are ignored, of repeated
+labels the worst counts; without both classes among the labels all documents get
+probability 1 and stay; an empty table gives an empty result; repeated rows are
+scored each for itself; a very long text is scored whole; rows that are equally
+sure are handed over in the order of their hashed ids; a probability that equals
+the threshold keeps; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -55,8 +59,8 @@ def text_view(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-def metadata_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """Layout measures and one hashed place each for source and language."""
+def layout_view(text: str | None) -> list[float]:
+    """Measures of the text's layout."""
     text = text or ""
     raw = text.encode()
     n, words, lines = max(1, len(raw)), text.split(), [x for x in text.split("\n") if x.strip()]
@@ -64,8 +68,8 @@ def metadata_view(text: str | None, source: str | None, lang: str | None, n_char
     upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
     marks = len(raw) - len(raw.translate(None, MARKS))
     common = max(seen.values(), default=0) / max(1, len(words))
-    out = [
-        math.log1p(len(text) if n_chars is None else max(0, n_chars)) / 5,
+    return [
+        math.log1p(len(text)) / 5,
         math.log1p(len(lines)) / 3,
         math.log1p(len(words) / max(1, len(lines))) / 3,
         min(1.0, 10 * marks / n),
@@ -77,10 +81,19 @@ def metadata_view(text: str | None, source: str | None, lang: str | None, n_char
         1 - len(set(lines)) / max(1, len(lines)),
         float(len(words) < 10),
     ]
-    places = [0.0] * (2 * PLACES)
+
+
+LAYOUT = len(layout_view(""))
+
+
+def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """One hashed place each for source, language and the power of 2 of the stated length, and that length."""
+    size = max(0, n_chars or 0)
+    places = [0.0] * (3 * PLACES)
     places[zlib.crc32((source or "").encode()) % PLACES] = 0.3
     places[PLACES + zlib.crc32((lang or "").encode()) % PLACES] = 0.3
-    return out + places
+    places[2 * PLACES + min(PLACES - 1, size.bit_length())] = 0.3
+    return [math.log1p(size) / 5, *places]
 
 
 class _Features(dict):
@@ -157,6 +170,25 @@ class _Dense:
         return self.x.T @ r
 
 
+class _Text:
+    """Words and layout as one view; the layout's weights come last."""
+
+    def __init__(self, words: _Sparse, layout: _Dense):
+        self.words, self.layout = words, layout
+
+    def only(self, used: np.ndarray) -> _Text:
+        return _Text(self.words.only(used[:-LAYOUT]), self.layout)
+
+    def scale(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.concatenate((self.words.scale(y, weight), self.layout.scale(y, weight)))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.words.dot(w[:-LAYOUT]) + self.layout.dot(w[-LAYOUT:])
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate((self.words.back(r), self.layout.back(r)))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -188,6 +220,12 @@ def calibrate(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c
 
 
+def surest(sure: np.ndarray, free: np.ndarray, most: int, confident: float) -> np.ndarray:
+    """At most ``most`` free rows of at least ``confident``, the surest first, equally sure ones in their order."""
+    rows = np.flatnonzero(free & (sure >= confident))
+    return rows[np.argsort(-sure[rows], kind="stable")[:most]]
+
+
 @dataclass(frozen=True)
 class Model:
     words: np.ndarray
@@ -197,12 +235,12 @@ class Model:
     blend: np.ndarray
 
 
-def cotrain(texts: list[tuple[bytes, bytes, int]], metas: list[list[float]], y: np.ndarray, held: np.ndarray, rounds: int = 3, exchange: int = 200, confident: float = 0.98) -> Model | None:
+def cotrain(texts: list[tuple[bytes, bytes, int]], layouts: list[list[float]], metas: list[list[float]], y: np.ndarray, held: np.ndarray, rounds: int = 3, exchange: int = 200, confident: float = 0.98) -> Model | None:
     """Fit both views; ``y`` is 1, 0 or nan (unlabelled), ``held`` marks rows for calibration only."""
     train, known = ~np.isnan(y) & ~held, ~np.isnan(y)
     if min(map(len, map(set, (y[train], y[held & known])))) < 2:
         return None
-    views = [(_Sparse.of(texts), 1 << BITS), (_Dense(metas), len(metas[0]))]
+    views = [(_Text(_Sparse.of(texts), _Dense(layouts)), (1 << BITS) + LAYOUT), (_Dense(metas), len(metas[0]))]
     labels = [np.where(train, y, 0.0) for _ in views]
     weights = [train.astype(float) for _ in views]
     fits = [None, None]
@@ -216,8 +254,7 @@ def cotrain(texts: list[tuple[bytes, bytes, int]], metas: list[list[float]], y:
             c = calibrate(score[held & known][:, None], y[held & known])
             p = _sigmoid(c[0] * score + c[1])
             for value, sure in ((1.0, p), (0.0, 1 - p)):
-                open_rows = np.flatnonzero(~known & (weights[1 - k] == 0) & (sure >= confident))
-                chosen = open_rows[np.argsort(-sure[open_rows], kind="stable")[:exchange]]
+                chosen = surest(sure, ~known & (weights[1 - k] == 0), exchange, confident)
                 labels[1 - k][chosen], weights[1 - k][chosen] = value, 0.5
     scores = np.column_stack([x.dot(w) + b for (x, _), (w, b) in zip(views, fits, strict=True)])
     return Model(fits[0][0], fits[0][1], fits[1][0], fits[1][1], calibrate(scores[held & known], y[held & known]))
@@ -251,7 +288,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c) for c in VIEWED]).join(F.broadcast(first), "_id")
 
 
-SAMPLED = pa.schema([("id", pa.int64()), ("order", pa.int64()), ("good", pa.int32()), ("index", pa.binary()), ("count", pa.binary()), ("words", pa.int64()), ("meta", pa.list_(pa.float64()))])
+SAMPLED = pa.schema([("id", pa.int64()), ("order", pa.int64()), ("good", pa.int32()), ("index", pa.binary()), ("count", pa.binary()), ("words", pa.int64()), ("layout", pa.list_(pa.float64())), ("meta", pa.list_(pa.float64()))])
 
 
 def sampled_features(rows: DataFrame) -> DataFrame:
@@ -262,21 +299,21 @@ def sampled_features(rows: DataFrame) -> DataFrame:
             out = []
             for i, order, good, *seen in each_row([batch], "_id", "_order", "_good", *VIEWED):
                 words = text_view(seen[0])
-                out.append((i, order, good, *count_features(words), len(words), metadata_view(*seen)))
+                out.append((i, order, good, *count_features(words), len(words), layout_view(seen[0]), metadata_view(*seen[1:])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SAMPLED, strict=True)], schema=SAMPLED)
 
-    return in_arrow(rows, view, "id long, order long, good int, index binary, count binary, words long, meta array<double>")
+    return in_arrow(rows, view, "id long, order long, good int, index binary, count binary, words long, layout array<double>, meta array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 1500) -> Model | None:
     def train(batches):
         # by hashed id; of repeated ids one row
-        rows = {r[1]: r for r in sorted(each_row(batches, "order", "id", "good", "index", "count", "words", "meta"))}.values()
+        rows = {r[1]: r for r in sorted(each_row(batches, "order", "id", "good", "index", "count", "words", "layout", "meta"))}.values()
         rows = sorted(rows)
         if rows:
             y = np.array([math.nan if r[2] is None else float(r[2]) for r in rows])
-            model = cotrain([r[3:6] for r in rows], [r[6] for r in rows], y, np.array([r[0] % 4 == 0 for r in rows]))
+            model = cotrain([r[3:6] for r in rows], [r[6] for r in rows], [r[7] for r in rows], y, np.array([r[0] % 4 == 0 for r in rows]))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     found = in_arrow(sampled_features(sample_rows(docs, labels, labelled, pool)).repartition(1), train, "model binary").collect()
@@ -291,7 +328,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep_col
 
     def rate(batches):
         m = shared.value
-        weights = _Weights(m.words) if m else None
+        weights, layout = (_Weights(m.words[:-LAYOUT]), m.words[-LAYOUT:]) if m else (None, None)
         for batch in batches:
             out = []
             for row in each_row([batch], *VIEWED):
@@ -299,8 +336,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep_col
                     out.append((None, None, 1.0, True))
                     continue
                 words = text_view(row[0])
-                s = m.words_bias + sum(map(weights.__getitem__, words)) / math.sqrt(max(1, len(words)))
-                t = m.meta_bias + float(np.dot(m.meta, metadata_view(*row)))
+                s = m.words_bias + sum(map(weights.__getitem__, words)) / math.sqrt(max(1, len(words))) + float(np.dot(layout, layout_view(row[0])))
+                t = m.meta_bias + float(np.dot(m.meta, metadata_view(*row[1:])))
                 p = float(_sigmoid(m.blend[0] * s + m.blend[1] * t + m.blend[2]))
                 out.append((s, t, p, p >= threshold))
             if out:
