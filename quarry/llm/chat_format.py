@@ -1,9 +1,12 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record or a table, as far as some mapping knows them,
-are hashed into a fingerprint; it selects a declarative mapping that turns the
-layout (prompt and completion, instruction with input, message lists, rows by
-turn) into canonical turns ``array<struct<role, text>>``. A template marks them.
+Every nested field path of a record or a table is gathered. The paths that belong
+to a layout are hashed; where that fingerprint is the layout's own, the record has
+all its paths and the layout fits. Of several layouts that fit, the one with the
+most paths, then the first listed, is taken. It names a declarative mapping that
+turns the record (prompt and completion, instruction with input, message lists,
+rows by turn) into canonical turns ``array<struct<role, text>>``. A template marks
+them.
 
 The template writes ``<s>role\\n`` + text + ``</s>`` for each turn, with the text
 of every role but the assistant's between ``[INST] `` and `` [/INST]``. Control
@@ -12,17 +15,23 @@ character, and backslashes are doubled, so that reading back restores every
 character. The loss mask covers the assistant's texts alone.
 
 Defined results: a null role or text counts as empty; an empty table gives an
-empty result; repeated rows stay as repeated turns; ties on the order column go
-by role, then text; rows with a null conversation id form one conversation; a
-record whose fingerprint no mapping has gets null turns; other columns are
-ignored.
+empty result; an empty list of messages has all paths of its layout and no turns;
+repeated rows stay as repeated turns; ties on the order column go by role, then
+text; rows with a null conversation id form one conversation; a record that no
+layout fits, or that is no JSON object, gets null turns; a table that no layout
+fits raises; long texts and long conversations are read in time linear in their
+length; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,34 +92,60 @@ def field_paths(kind: T.DataType, at: str = "") -> tuple[str, ...]:
     return field_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else (at,)
 
 
+def value_paths(value, at: str = "") -> Iterator[str]:
+    """Leaf paths of a decoded JSON value; dots, brackets and backslashes of names are escaped."""
+    if isinstance(value, dict) and value:
+        for name, inner in value.items():
+            told = re.sub(r"([.\[\\])", r"\\\1", name)
+            yield from value_paths(inner, f"{at}.{told}" if at else told)
+    elif isinstance(value, list):
+        if not value:
+            yield f"{at}[]"
+        for inner in value:
+            yield from value_paths(inner, f"{at}[]")
+    else:
+        yield at
+
+
 def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON record's known field paths."""
-    known = sorted({p for m in MAPPINGS for p in m.paths})
+def fitting(paths, layouts: dict[str, tuple[str, ...]]) -> str | None:
+    """The layout whose fingerprint the paths have, of several the one with the most paths, then the first."""
+    paths = set(paths)
+    empty = {p for p in paths if p.endswith("[]")}  # empty lists stand for all that their items could hold
+    for name, own in sorted(layouts.items(), key=lambda m: -len(m[1])):
+        if fingerprint(p for p in own if p in paths or any(p.startswith(e) for e in empty)) == fingerprint(own):
+            return name
+    return None
 
-    def of(key: Column, value: Column) -> Column:
-        item = F.from_json(F.get_json_object(value, "$[0]"), "map<string,string>")
-        inner = F.transform(F.map_keys(item), lambda k: F.concat(key, F.lit("[]."), k))
-        return F.when(F.ltrim(value).startswith("["), inner).otherwise(F.array(key))
 
-    top = F.map_entries(F.from_json(record, "map<string,string>"))
-    paths = F.flatten(F.transform(top, lambda e: F.coalesce(of(e["key"], F.coalesce(e["value"], F.lit(""))), F.array().cast("array<string>"))))
-    return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, known)))), "\n"), 256)
+def record_layout(record: str | None, layouts: dict[str, tuple[str, ...]]) -> str | None:
+    """Name of the layout that fits a JSON record."""
+    try:
+        value = json.loads(record or "")
+    except (ValueError, RecursionError):
+        return None
+    return fitting(value_paths(value), layouts) if isinstance(value, dict) else None
 
 
 def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
-    """Add ``layout`` and ``turns`` to rows that hold a JSON record each."""
-    mark, at = F.col("_fingerprint"), f"`{record}`"
-    turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    """Add ``layout`` and ``turns``, in place of columns so named, to rows that hold a JSON record each."""
+
+    known = {m.name: m.paths for m in MAPPINGS}
+
+    @F.pandas_udf("string")
+    def layout(records: pd.Series) -> pd.Series:
+        return records.map(lambda r: record_layout(r, known)).astype(object)
+
+    at, named = f"`{record}`", df.withColumn("layout", layout(F.col(record)))
+    turns = F.lit(None).cast(TURNS)
     for m in MAPPINGS:
         parsed = f"from_json({at}, '{m.fields}')"
         made = F.expr(f"element_at(transform(array({parsed}), r -> {m.turns}), 1)").cast(TURNS)
-        turns = F.when(mark == fingerprint(m.paths), made).otherwise(turns)
-        layout = F.when(mark == fingerprint(m.paths), F.lit(m.name)).otherwise(layout)
-    return df.withColumn("_fingerprint", record_fingerprint(F.col(record))).withColumns({"layout": layout, "turns": turns}).drop("_fingerprint")
+        turns = F.when(F.col("layout") == m.name, made).otherwise(turns)
+    return named.withColumn("turns", turns)
 
 
 def turns_of_rows(df: DataFrame) -> DataFrame:
@@ -119,12 +154,10 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
     A conversation becomes one row, so its turns meet in one task; no other
     grouping happens.
     """
-    known = {p for m in ROW_MAPPINGS for p in m.paths}
-    mark = fingerprint(known.intersection(df.columns))
-    found = next((m for m in ROW_MAPPINGS if fingerprint(m.paths) == mark), None)
+    found = fitting(field_paths(df.schema), {m.name: m.paths for m in ROW_MAPPINGS})
     if found is None:
         raise ValueError(f"no row layout has the columns {sorted(df.columns)}")
-    key, order, role, text = found.turns.split(", ")
+    key, order, role, text = next(m.turns for m in ROW_MAPPINGS if m.name == found).split(", ")
     rows = df.select(F.col(key).alias("conv_id"), F.struct(F.col(order).alias("at"), _filled(role).alias("role"), _filled(text).alias("text")).alias("t"))
     turns = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy("conv_id").agg(turns.alias("turns"))
@@ -150,32 +183,36 @@ def format_turns(turns: Column) -> Column:
 
     def one(t: Column) -> Column:
         text, role = escape(F.coalesce(t["text"], F.lit(""))), F.coalesce(t["role"], F.lit(""))
-        shown = F.when(role == LEARNT, text).otherwise(F.concat(F.lit("[INST] "), text, F.lit(" [/INST]")))
+        shown = F.when(role == LEARNT, text).otherwise(F.concat(F.lit(BEFORE), text, F.lit(AFTER)))
         return F.concat(F.lit("<s>"), F.replace(escape(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"), shown, F.lit("</s>"))
 
     return F.array_join(F.transform(turns, one), "")
 
 
-def parse_formatted(formatted: Column) -> Column:
-    """Turns read back from a marked string: role, text, and the place of the escaped text (code points, from 0)."""
-    spec = r"(?s)^<s>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)$"
-    pieces = F.filter(F.split(formatted, "</s>", -1), lambda p: p != "")
+TURN = re.compile(r"<s>((?:[^\\\n]|\\.)*+)\n(.*?)</s>", re.DOTALL)
+BEFORE, AFTER = "[INST] ", " [/INST]"
 
-    def one(p: Column) -> Column:
-        role, body = F.regexp_extract(p, spec, 1), F.regexp_extract(p, spec, 2)
-        learnt = role == LEARNT
-        shown = F.when(learnt, body).otherwise(body.substr(F.lit(len("[INST] ") + 1), F.length(body) - len("[INST]  [/INST]")))
-        return F.struct(unescape(role).alias("role"), shown.alias("shown"), F.length(p).alias("size"), learnt.alias("learnt"))
 
-    read = F.transform(pieces, one)
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role: string, text: string, start: int, end: int, learnt: boolean>>").alias("out"))
+def read_turns(formatted: str) -> list[dict]:
+    """Turns of a marked string: role, text, whether it is learnt, and the place of the escaped text (code points, from 0)."""
+    out = []
+    for m in TURN.finditer(formatted):
+        role = re.sub(r"(?s)\\(.)", r"\1", m[1])
+        learnt, (start, end) = role == LEARNT, m.span(2)
+        if not learnt:
+            start, end = start + len(BEFORE), end - len(AFTER)
+        out.append({"role": role, "text": re.sub(r"(?s)\\(.)", r"\1", formatted[start:end]), "start": start, "end": end, "learnt": learnt})
+    return out
 
-    def place(acc: Column, t: Column) -> Column:
-        end = acc["at"] + t["size"] - F.when(t["learnt"], 0).otherwise(len(" [/INST]"))
-        turn = F.struct(t["role"].alias("role"), unescape(t["shown"]).alias("text"), (end - F.length(t["shown"])).alias("start"), end.alias("end"), t["learnt"].alias("learnt"))
-        return F.struct((acc["at"] + t["size"] + len("</s>")).alias("at"), F.concat(acc["out"], F.array(turn)).alias("out"))
 
-    return F.aggregate(read, begun, place, lambda acc: acc["out"])
+def parse_formatted(formatted: Column) -> Column:
+    """The turns that ``read_turns`` finds, for a column."""
+
+    @F.pandas_udf("array<struct<role: string, text: string, start: int, end: int, learnt: boolean>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(read_turns, na_action="ignore").astype(object)
+
+    return read(formatted)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -186,12 +223,15 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     return read.withColumn("loss_spans", spans)
 
 
+def said(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n"))), "")
+
+
 def digest_conversations(rows: DataFrame) -> DataFrame:
     """Counts and digests of what reads back from the formatted strings."""
     out = format_conversations(rows)
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"] + 1, s["end"] - s["start"]))), "")
-    out = out.withColumns({"_said": said, "_masked": masked})
+    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["learnt"]), lambda t: t["text"]), "")  # what lies under loss_spans, unescaped
+    out = out.withColumns({"_said": said(F.col("turns")), "_masked": masked})
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -215,3 +255,41 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(n + m + 8 + CASE WHEN learnt THEN 0 ELSE 15 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def records_of_rows(rows: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations as JSON records, dealt by their ids to the list layouts, and their first exchanges to the pair layouts."""
+    turns = turns_of_rows(rows)
+    named = lambda role, text, renamed: F.transform("turns", lambda t: F.struct(renamed(t["role"]).alias(role), t["text"].alias(text)))
+    plain = lambda r: r
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    lists = [("messages", named("role", "content", plain)), ("conversations", named("from", "value", other)), ("turns", named("role", "text", plain))]
+    lot = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(15))
+    record = F.lit(None).cast("string")
+    for k, (name, value) in enumerate(lists):
+        record = F.when(lot % 3 == k, F.to_json(F.struct(value.alias(name), F.col("conv_id").alias("id")))).otherwise(record)
+    asked, answer = (F.get(F.filter("turns", lambda t, r=r: t["role"] == r), 0)["text"] for r in ("user", "assistant"))
+    pair = F.lit(None).cast("string")
+    for k, (a, b) in enumerate((("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"))):
+        pair = F.when(lot % 5 == k, F.to_json(F.struct(asked.alias(a), answer.alias(b), F.lit("x").alias("note")))).otherwise(pair)
+    pair = F.when(lot % 5 == 4, F.to_json(F.struct(asked.alias("instruction"), answer.alias("input"), answer.alias("output")))).otherwise(pair)
+    pairs = turns.where(asked.isNotNull() & answer.isNotNull()).select("conv_id", pair.alias("record"))
+    return turns.select("conv_id", record.alias("record")).unionByName(pairs)
+
+
+def digest_layouts(rows: DataFrame) -> DataFrame:
+    """(conv_id, layout, n_turns, turns_sha256) of what every layout's records are mapped to."""
+    out = turns_of_records(records_of_rows(rows))
+    return out.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(said(F.col("turns")), 256).alias("turns_sha256"))
+
+
+#: What the layouts' records say, in DuckDB.
+LAYOUTS_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, (conv_id % 15 + 15) % 15 AS lot FROM conversations),
+p AS (SELECT conv_id, any_value(lot) AS lot, first(text ORDER BY turn, text) FILTER (WHERE role = 'user') AS a, first(text ORDER BY turn, text) FILTER (WHERE role = 'assistant') AS b FROM c GROUP BY conv_id)
+SELECT conv_id, CASE any_value(lot) % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'from_value' ELSE 'role_text' END AS layout, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256 FROM c GROUP BY conv_id
+UNION ALL SELECT conv_id, CASE lot % 5 WHEN 0 THEN 'prompt_response' WHEN 1 THEN 'prompt_completion' WHEN 2 THEN 'question_answer' WHEN 3 THEN 'instruction_output' ELSE 'instruction_input_output' END, 2,
+  sha256('user' || chr(10) || a || CASE WHEN lot % 5 = 4 AND b <> '' THEN chr(10) || chr(10) || b ELSE '' END || chr(10) || 'assistant' || chr(10) || b || chr(10))
+FROM p WHERE a IS NOT NULL AND b IS NOT NULL
+"""

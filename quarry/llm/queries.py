@@ -19,6 +19,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(rows.unionByName(probe))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as JSON records of every layout, mapped back to canonical turns."""
+    return chat_format.digest_layouts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -67,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
+    "chat_layouts": chat_layouts,
 }
 
 SQL: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
+    "chat_layouts": chat_format.LAYOUTS_SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_warc": warc.SQL,
