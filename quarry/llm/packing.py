@@ -6,11 +6,14 @@ rounded up within groups of equal cardinality, the configurations of the few
 rounded sizes are optimised by column generation, actual lengths replace the
 rounded ones, and the rest goes by best fit, largest first. The plan names runs
 of places (length, rank, sequence, offset); each piece then finds its place by
-its length and its rank among the pieces of that length.
+its length and its rank among the pieces of that length. Ranks come from sums over
+(length, bucket), of which a length has four times as many as there are shuffle
+partitions; only these few sums, never the pieces of a length, meet in one task.
 
 Defined results: a null text is empty, so it is one end token; an empty table
 gives an empty result; repeated rows are packed as often as they occur; ties of
-length go by salt bucket, then document and piece; other columns are ignored.
+length go by salt bucket, then document and piece; a very long text is encoded
+whole and cut into pieces; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -244,7 +247,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.join(small(settle(bases), 24), ["length", "_salt"]).withColumn("_rank", F.col("_base") + rank).drop("_base", "_salt")
+    ranked = pieces.join(small(settle(bases), 90), ["length", "_salt"]).withColumn("_rank", F.col("_base") + rank).drop("_base", "_salt")
     runs = np.array(sorted(plan.runs) or np.zeros((0, 5)), "int64")
     shared = spark.sparkContext.broadcast((runs[:, 0] * (1 << 44) + runs[:, 1], runs[:, 1], runs[:, 3], runs[:, 4]))
 
