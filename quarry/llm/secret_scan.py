@@ -13,7 +13,9 @@ that a split by the pattern leaves and of the matches alternate.
 
 Defined results: a null text is empty and has no spans; an empty table gives an
 empty result; repeated rows are scanned each for itself; equal places of two
-kinds are ordered as the kinds are listed; other columns are ignored.
+kinds are ordered as the kinds are listed; spans and texts may have any length;
+parts that overlap don't complement each other; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,17 +42,18 @@ KINDS = [k for k, *_ in STRONG] + [k for k, _ in WEAK]
 #: Which roles a weak kind needs in its scope. access and account identify; assign, hex and opaque are secrets.
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
 NEEDS = {"account": ("secret",), "opaque": ("identifier", "endpoint"), "endpoint": ("identifier", "secret")}
+#: Matches of a text are placed in groups of so many, as each place costs a copy of its group's list.
+GROUP = 256
 SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Places of the pattern's matches whose ``group`` has at least ``least`` characters."""
-    told = F.lit(pattern)
+    texts = F.regexp_extract_all(text, F.lit(pattern), 0)
+    counted = F.transform(texts, lambda x: F.length(F.regexp_extract(x, pattern, group)))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(F.regexp_extract_all(text, told, 0), F.length)
-    counted = F.transform(F.regexp_extract_all(text, told, group), F.length) if group else sizes
-    matches = F.zip_with(F.arrays_zip(sizes.alias("size"), counted.alias("counted")), F.slice(gaps, 1, F.size(sizes)), lambda m, gap: F.struct(gap.alias("gap"), m["size"].alias("size"), m["counted"].alias("counted")))
-    begun = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    matches = F.zip_with(F.transform(texts, F.length), F.arrays_zip(F.slice(gaps, 1, F.size(texts)).alias("gap"), counted.alias("counted")), lambda n, m: F.struct(m["gap"].alias("gap"), n.alias("size"), m["counted"].alias("counted")))
+    groups = F.transform(F.sequence(F.lit(1), F.size(matches), F.lit(GROUP)), lambda at: F.slice(matches, at, GROUP))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
@@ -58,7 +61,12 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(m["counted"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(matches, begun, step, lambda acc: acc["out"])
+    def placed(acc: Column, own: Column) -> Column:
+        begun = F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(own, begun, step, lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+    begun = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    found = F.aggregate(groups, begun, placed, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -119,5 +127,3 @@ def digest_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.sha2(_told(F.col("strong")), 256).alias("base_sha256"),
         _told(F.array_sort(F.concat("strong", "linked"))).alias("spans"),
     )
-
-
