@@ -15,13 +15,18 @@
    to it, so no link between components is lost.
 4. The union sketch estimates the similarity of a pair, ``DEVIATIONS`` standard
    deviations below the threshold; exact Jaccard on the whole sets decides.
-5. Components grow by alternating large and small stars.
+5. Components grow by alternating large and small stars; the joins at the root of a
+   large component are inner joins whose other side has one row for a node, which
+   adaptive execution splits where they are skewed.
 
 Defined results: a document without words or text has an empty set and is linked
 with nothing; fewer words than a shingle count as one shingle; the component is
-named by its smallest non-null doc_id; repeated rows fall into one component; an
-empty table gives an empty result; other columns are ignored, or kept by
-``drop_near_duplicates``.
+named by its smallest non-null doc_id, or null if it has none; two texts under one
+doc_id are two documents, whose components stay apart but for that name; repeated
+rows fall into one component; a pair exactly at the threshold is linked; a very
+long text counts with its whole set; an empty table gives an empty result; other
+columns, whatever their names, are ignored, or kept by ``drop_near_duplicates``,
+which takes five words and 0.8, as near-duplicate stages do unless told otherwise.
 """
 
 from __future__ import annotations
@@ -226,12 +231,15 @@ def deep_links(sets: DataFrame, links: DataFrame, nodes: DataFrame, rule: Rule)
     shares = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
     main = small(settle(shares.groupBy("value").agg(F.max(F.struct("n", "root")).alias("m")).select("value", F.col("m.root").alias("main"))), 24)
     minor = settle(rooted.join(main, "value").where("root <> main").select("value", F.col("p").alias("x"), F.col("root").alias("xr")))
-    rest = minor.join(rooted.select("value", F.col("p").alias("y"), F.col("root").alias("yr")), "value").where(F.col("xr") != F.col("yr")).where(fit(F.col("x"), F.col("y")))
+    # sizes that fit lie in one band or in two that touch
+    band = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / rule.percent) + 1e-9)).cast("int")
+    near = minor.withColumn("band", F.explode(F.sequence(band(F.col("x.n")) - 1, band(F.col("x.n")) + 1)))
+    rest = near.join(rooted.select("value", F.col("p").alias("y"), F.col("root").alias("yr"), band(F.col("p.n")).alias("band")), ["value", "band"]).where(F.col("xr") != F.col("yr")).where(fit(F.col("x"), F.col("y")))
     return found.unionByName(confirmed(estimated(_ordered(rest), nodes, rule), sets, rule))
 
 
 def find_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, _key, n_shingles, component_id) of every row."""
+    """(doc_id, _key, n_shingles, component_id, root) of every row; the root tells components apart and is null for a row alone."""
     rows = settle(sketches(docs, rule))
     # one node for each set: its smallest document, and a row that stands for it
     same = settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("_key").alias("_key"), F.count("*").alias("copies")))
@@ -247,8 +255,8 @@ def find_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # nodes that are neither copied nor linked are their own components
     rooted = same.join(roots, "node", "left").where("copies > 1 or root is not null").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = small(settle(rooted.join(named, "root").select("node", "component_id")), 24)
-    return rows.drop("sketch").join(known, "node", "left").select("doc_id", "_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("component_id").isNotNull()).alias("_grouped"))
+    known = small(settle(rooted.join(named, "root").select("node", "component_id", "root")), 90)
+    return rows.drop("sketch").join(known, "node", "left").select("doc_id", "_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def digest_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -258,9 +266,9 @@ def digest_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     """The documents with one row of each component left: that with the smallest doc_id, then key."""
-    found = settle(find_components(docs, rule).where("_grouped"))
+    found = settle(find_components(docs, rule).where("root is not null"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    first = found.groupBy("component_id").agg(F.min(rank).alias("f"), F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(rank).alias("f"), F.count("*").alias("n"))
     stays = settle(first.select("f._key").distinct())
     goes = settle(found.select("_key").distinct().join(stays, "_key", "left_anti"))
     twice = settle(found.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").join(stays, "_key", "left_semi").select("_key"))
