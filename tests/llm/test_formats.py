@@ -60,6 +60,11 @@ def test_no_control_string_survives_inside_texts(spark):
         ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}, "messages", [("system", "s"), ("user", "u")]),
         ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, "from_value", [("user", "h"), ("assistant", "g")]),
         ({"unknown": 1}, None, None),
+        ({"prompt": "p", "response": "r", "text": "t", "messages": [{"role": "user"}]}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"messages": [], "meta": {"deep": {"er": [[{"x": 1}]]}}}, "messages", []),
+        ({"messages": [{"role": "user", "content": "u", "tool": {"name": "n"}}, {"weight": 1}]}, "messages", [("user", "u"), (None, None)]),
+        ({"prompt": {"response": 1}, "response": "r"}, None, None),
+        ({"prompt": None, "response": "r"}, "prompt_response", [("user", None), ("assistant", "r")]),
     ],
 )
 def test_layouts_by_fingerprint(spark, record, layout, turns):
@@ -68,6 +73,28 @@ def test_layouts_by_fingerprint(spark, record, layout, turns):
     assert (row.turns and [tuple(t) for t in row.turns]) == turns
 
 
+def test_tables_are_read_by_the_columns_they_hold(spark):
+    rows = [(1, 0, "user", "u", "c", "a", 5, 6), (1, 1, "assistant", "v", "c", "a", 5, 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, content string, author string, position long, thread_id long")
+    for extra in (["content"], ["content", "author"], ["content", "author", "position"], ["content", "author", "position", "thread_id"]):
+        out = chat_format.turns_of_rows(df.select("conv_id", "turn", "role", "text", *extra)).collect()
+        assert [(r.conv_id, [tuple(t) for t in r.turns]) for r in out] == [(1, [("user", "u"), ("assistant", "v")])]
+    assert [r.conv_id for r in chat_format.turns_of_rows(df.drop("turn")).collect()] == [6]
+    with pytest.raises(ValueError, match="no row layout"):
+        chat_format.turns_of_rows(df.select("conv_id", "role"))
+
+
+def test_long_conversations_read_back(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k} </s>") for k in range(20_000)]
+    out = chat_format.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert out.n_turns == 20_000 and out.loss_sha256 == sha("".join(r[3] for r in rows if r[1] % 2))
+
+
+@pytest.mark.parametrize("record", ["no json", "[1]", "5", "null", "{", "[" * 100_000, None])
+def test_what_is_no_record_has_no_layout(record):
+    assert chat_format.record_layout(record, {"pair": ("prompt", "response")}) is None
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
@@ -181,3 +208,56 @@ def test_every_record_has_one_owner(step):
     data = b"".join(map(warc.record_bytes, rows))
     found = [warc.parse_record(raw)[0] for at in range(0, len(data), step) for _, raw in warc.records_in(io.BytesIO(data), at, min(at + step, len(data)))]
     assert found == list(range(20))
+
+
+def member(headers, body=b"", name=None):
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + f"Content-Length: {len(body)}\r\n\r\n"
+    out = io.BytesIO()
+    with gzip.GzipFile(filename=name or "", fileobj=out, mode="wb") as f:
+        f.write(head.encode() + body + b"\r\n\r\n")
+    return out.getvalue()
+
+
+def foreign_archive():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    noise = np.random.default_rng(3).integers(0, 256, 90_000, dtype=np.uint8).tobytes()
+    inner = gzip.compress(b"no record") + member({"WARC-Type": "response", "WARC-Record-ID": "<inner>"}, b"x" * 50) * 3 + b"end"
+    bodies = [noise + inner + noise, inner * 20 + noise, b"plain", b""]
+    uuid_of = lambda k: f"<urn:uuid:{k:08d}-0000-4000-8000-000000000000>"
+    records = [member({"WARC-Type": "warcinfo", "WARC-Record-ID": uuid_of(99), "Content-Type": "application/warc-fields"}, b"software: x\r\n", "n" * 600)]
+    for k, body in enumerate(bodies):
+        records.append(member({"WARC-Type": "request", "WARC-Record-ID": uuid_of(k), "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"))
+        records.append(member({"WARC-Type": "response", "WARC-Record-ID": uuid_of(10 + k), "WARC-Target-URI": f"http://h/{k}", "Content-Type": "application/http; msgtype=response"}, http + body, "n" * 600 if k % 2 else None))
+        records.append(member({"WARC-Type": "metadata", "WARC-Record-ID": uuid_of(20 + k), "X-Folded": "one\r\n two"}, b"about it"))
+    records.append(member({"WARC-Type": "revisit", "WARC-Record-ID": uuid_of(30), "WARC-Refers-To": uuid_of(10)}, b""))
+    return bodies, records
+
+
+@pytest.mark.parametrize("step", [997, 20_000, 200_000, 1 << 24])
+def test_foreign_and_nested_archives(step):
+    bodies, records = foreign_archive()
+    data = b"".join(records)
+    found = [(at, warc.parse_record(raw)) for s in range(0, len(data), step) for at, raw in warc.records_in(io.BytesIO(data), s, min(s + step, len(data)))]
+    assert [at for at, _ in found] == [sum(map(len, records[:k])) for k in range(len(records))]
+    rows = [r for _, r in found]
+    assert [r[5] is not None and r[6] for r in rows if r[2] == "response"] == bodies
+    assert [r[2] for r in rows] == ["warcinfo", *["request", "response", "metadata"] * len(bodies), "revisit"]
+    assert all(r[0] is None and r[1].startswith("<urn:uuid:") for r in rows)
+    assert rows[3][4]["x-folded"] == "one two" and rows[-1][6] is None and rows[-1][9].startswith("<urn:uuid:")
+
+
+def test_damaged_members_are_stepped_over(spark):
+    _, records = foreign_archive()
+    broken = bytearray(b"".join(records[3:6]))
+    broken[len(records[3]) + 40] ^= 0xFF  # inside the second of them
+    data = b"".join(records[:3]) + bytes(broken) + records[-1] + records[1][:-9]
+    for step in (5000, 1 << 24):
+        found = [warc.parse_record(raw)[1] for s in range(0, len(data), step) for _, raw in warc.records_in(io.BytesIO(data), s, min(s + step, len(data)))]
+        want = [warc.parse_record(gzip.decompress(records[k]))[1] for k in (0, 1, 2, 3, 5, len(records) - 1)]
+        assert [x for x in found if x in want] == want
+    store, top = warc.place(f"{shared_dir(spark)}/foreign-{id(spark)}")
+    store.create_dir(top)
+    with store.open_output_stream(f"{top}/a.warc.gz", compression=None) as f:
+        f.write(b"".join(records))
+    out = warc.read_archives(spark, f"{shared_dir(spark)}/foreign-{id(spark)}", 50_000)
+    assert out.count() == len(records) and out.where("record_type = 'warcinfo'").first().headers["content-type"] == "application/warc-fields"

@@ -98,6 +98,19 @@ def test_classifier_on_held_out_rows(labelled):
     assert np.mean([not k for d, k in found.items() if not good[d]]) >= 0.95
 
 
+def test_the_surest_rows_are_handed_over():
+    sure = np.array([0.99, 0.5, 0.99, 1.0, 0.98, 0.99, 0.97])
+    free = np.array([True, True, True, True, True, False, True])
+    for most in range(8):
+        want = sorted((k for k in range(7) if free[k] and sure[k] >= 0.98), key=lambda k: (-sure[k], k))[:most]
+        assert cotrain.surest(sure, free, most, 0.98).tolist() == want
+
+
+def test_views_are_apart():
+    assert cotrain.metadata_view(None, None, None) == cotrain.metadata_view("", "", 0)
+    assert cotrain.layout_view("a b") != cotrain.layout_view("A! B!")
+
+
 def test_classifier_on_odd_rows(odd, labelled):
     _, labels, _ = labelled
     assert cotrain.keep_good(odd, labels.limit(0)).count() == len(ODD)
@@ -209,3 +222,45 @@ def test_the_shortlist_grows_with_the_vocabulary(spark):
         assert lexicon.short_counts.sum() >= gru_lm.COVERED * lexicon.tokens
         assert len(lexicon.ids) == next(k for k in range(size) if sum(least[:k]) >= gru_lm.COVERED * lexicon.tokens)
         assert lexicon.n_short >= len(lexicon.ids)
+
+
+def test_cutoffs_equal_brute_force(spark):
+    rng = random.Random(11)
+    names = [*quality_rules.COUNTS, *quality_rules.SIGNALS]
+    rows = [(k, lang, 100, 500, 0, 0, 0, *(rng.random() for _ in quality_rules.SIGNALS)) for k in range(1200) for lang in [("en", "de", "fr", None)[min(3, k // 2 % 8)]]]
+    marks = [(k, k % 3 > 0, k % 2 == 0) for k in range(1100)]
+    path, most, level = ((0.0, 1.5), (0.0, 1.0), (0.02, 1.0), (0.1, 1.0), (0.0, 9.0)), 0.3, 0.05
+    df = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{n} {'long' if n in quality_rules.COUNTS else 'double'}" for n in names))
+    found = quality_rules.select_cutoffs(df, spark.createDataFrame(marks, "_id long, _good boolean, _fit boolean"), path, most, level)
+    halves = {}
+    for row in rows[:1100]:
+        if row[0] % 3 > 0:
+            halves.setdefault(row[1], ([], []))[row[0] % 2].append(row[7:])
+    want = {}
+    for lang, (fit, test) in halves.items():
+        for share, margin in path:
+            cuts = []
+            for k, floor in enumerate(quality_rules.FLOORS):
+                told = sorted(x[k] for x in fit)
+                cuts.append(max(floor, margin * told[math.ceil((1 - share) * len(told)) - 1]))
+            gone = sum(any(x > c for x, c in zip(row, cuts)) for row in test)
+            if quality_rules.binomial_upper(gone, len(test), level / len(halves)) > most:
+                break
+            want[lang] = (cuts, gone, len(test))
+    assert {f[0] for f in found} == set(want)
+    for lang, *cuts, gone, n, _ in found:
+        assert (gone, n) == want[lang][1:] and np.allclose(cuts, want[lang][0])
+
+
+def test_the_promised_rate_holds_over_many_draws():
+    """Of cutoffs that the bound passes in fixed order, at most the level may truly reject more than promised."""
+    rng, broken, draws = np.random.default_rng(5), 0, 3000
+    true = (0.01, 0.03, 0.05, 0.07, 0.09)  # each step's true rate of false rejections
+    for _ in range(draws):
+        n, chosen = int(rng.integers(60, 400)), 0.0
+        for p in true:
+            if quality_rules.binomial_upper(int(rng.binomial(n, p)), n, 0.05) > 0.06:
+                break
+            chosen = p
+        broken += chosen > 0.06
+    assert broken / draws <= 0.05
