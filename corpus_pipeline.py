@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bottomk, cotrain, decontaminate, line_dedup, packing
-from quarry.llm.common import settle, table
+from quarry.llm.common import remove_folders, settle, swept, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        with swept() as folders:
+            docs = settle(stage(spark, docs, sf_dir))
+            used, folders[:] = folders[:-1], folders[-1:]  # the last one holds the stage's result
+        remove_folders(used + before)
+        before = folders[:]
     return STAGES[-1][1](spark, docs, sf_dir)
