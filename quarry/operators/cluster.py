@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,15 +29,23 @@ def star_edges(rows: DataFrame, row_id: str, block: Sequence[str], links: Sequen
     return out.distinct()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a local session without one gets its own."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not held and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(held or tempfile.mkdtemp(prefix="quarry-"))
+    return (held or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach; nodes without edges are their own.
 
     Large and small stars alternate until the edges stay the same; each round is
     cut by a checkpoint, which survives the loss of executors.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_folder(nodes.sparkSession)
     now, before = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint(), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,66 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.sources.schemas import ENTRY
+from quarry.functions.streets import entry_name
+from quarry.sources.schemas import ENTRY, ENTRY_FIELDS
 
 
-def _full_address(street: Column, number: Column) -> Column:
-    return F.nullif(F.btrim(F.concat_ws(" ", F.coalesce(street, F.lit("")), F.coalesce(number, F.lit("")))), F.lit(""))
+FIELDS = (*ENTRY_FIELDS, "word_ids", "name_word_ids", "address_word_ids", "entry_bbox", "name_bbox", "address_bbox", "cross_references")
 
 
-def _branch(pages: DataFrame, section: str, outer: str, inner: str | None = None) -> DataFrame:
-    """(stem, section, outer_pos, inner_pos, parent, e) of one section's entries."""
-    rows = pages.where(F.col("section") == section).select("stem", "section", "page_number", F.posexplode(outer).alias("outer_pos", "p"))
-    return rows.select("*", F.posexplode(f"p.{inner}").alias("inner_pos", "e")) if inner else rows.select("*", F.lit(0).alias("inner_pos"), F.col("p").alias("e"))
+def _entry(put: dict[str, str] | None = None, own: bool = True) -> str:
+    """SQL of an entry ``e`` in the common shape, with some fields ``put``."""
+    told = {f: f"e.{f}" if own else "NULL" for f in FIELDS} | (put or {})
+    return "CAST(struct(" + ", ".join(f"{told[f]} AS {f}" for f in FIELDS) + f") AS {ENTRY})"
+
+
+def _inherited(field: str, parent: str) -> dict[str, str]:
+    """Both columns of a field from the parent where the entry's own is empty."""
+    return {f"{field}{x}": f"if(coalesce(e.{field}, '') = '', p.{parent}{x}, e.{field}{x})" for x in ("", "_expanded")}
+
+
+def _nested(outer: str, put: dict[str, str]) -> str:
+    return f"flatten(transform({outer}, p -> transform(coalesce(p.entries, array()), e -> {_entry(put)})))"
+
+
+FOUND = {
+    "name": "coalesce(e.context, 'Unknown')",
+    "address_street": "e.address_street",
+    "address_street_expanded": "e.address_street_expanded",
+    "address_number": "e.address_number",
+    "address_full": "nullif(trim(concat_ws(' ', coalesce(e.address_street_expanded, e.address_street, ''), coalesce(e.address_number, ''))), '')",
+    "word_ids": "e.address_word_ids",
+    "address_word_ids": "e.address_word_ids",
+}
+#: The entries of each kind of section, in order of emission.
+SECTIONS = {
+    "name_register": f"transform(entries, e -> {_entry()})",
+    "street_register": _nested("streets", _inherited("address_street", "street_name")),
+    "occupation_register": _nested("occupations", _inherited("occupation", "occupation_name")),
+    "institutional": f"transform(entities, e -> {_entry()})",
+    "advertisement": "transform(advertisements, e -> " + _entry({"name": "if(coalesce(e.name, '') = '', e.business_name, e.name)"}) + ")",
+    "other": f"transform(addresses_found, e -> {_entry(FOUND, False)})",
+}
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
-    """One row for each entry in emission order, with entry_index and stable_id.
+    """One row for each entry in emission order, with entry_index and stable_id; one pass over the pages and no shuffle.
 
     Entries of a street or an occupation inherit its names, both columns together,
     where their own is empty; advertisements take their business name; found
     addresses make rows of their own. Other sections give no rows.
     """
-    blank = lambda f: F.coalesce(F.col(f"e.{f}"), F.lit("")) == ""
-
-    def inherit(rows: DataFrame, field: str, parent: str) -> DataFrame:
-        own = F.col("e")
-        both = own.withField(field, F.when(blank(field), F.col(f"p.{parent}")).otherwise(own[field])).withField(f"{field}_expanded", F.when(blank(field), F.col(f"p.{parent}_expanded")).otherwise(own[f"{field}_expanded"]))
-        return rows.withColumn("e", both)
-
-    names = [f.split(": ")[0] for f in ENTRY[len("struct<") :].split(", ") if ": " in f and not f.startswith(("page:", "text:", "page_number:"))]
-    names = [n for n in names if n not in ("type",)]
-    ads = _branch(pages, "advertisement", "advertisements")
-    ads = ads.withColumn("e", F.struct(*[F.when(blank("name"), F.col("e.business_name")).otherwise(F.col("e.name")).alias("name") if n == "name" else F.col(f"e.{n}").alias(n) for n in names]))
-    other = _branch(pages, "other", "addresses_found")
-    made = {
-        "name": F.coalesce("e.context", F.lit("Unknown")),
-        "address_street": F.col("e.address_street"),
-        "address_street_expanded": F.col("e.address_street_expanded"),
-        "address_number": F.col("e.address_number"),
-        "address_full": _full_address(F.coalesce("e.address_street_expanded", "e.address_street"), F.col("e.address_number")),
-        "word_ids": F.col("e.address_word_ids"),
-        "address_word_ids": F.col("e.address_word_ids"),
-    }
-    kind = _branch(pages, "name_register", "entries").schema["e"].dataType
-    other = other.withColumn("e", F.struct(*[made.get(n, F.lit(None)).cast(kind[n].dataType).alias(n) for n in names]))
-    branches = [
-        _branch(pages, "name_register", "entries"),
-        inherit(_branch(pages, "street_register", "streets", "entries"), "address_street", "street_name"),
-        inherit(_branch(pages, "occupation_register", "occupations", "entries"), "occupation", "occupation_name"),
-        _branch(pages, "institutional", "entities"),
-        ads,
-        other,
-    ]
-    out = None
-    for b in branches:
-        b = b.select("stem", "section", "page_number", "outer_pos", "inner_pos", "e.*")
-        out = b if out is None else out.unionByName(b)
-    index = F.row_number().over(Window.partitionBy("stem").orderBy("outer_pos", "inner_pos")) - 1
-    return out.withColumn("entry_index", index).withColumn("stable_id", F.concat_ws(":", "stem", F.col("entry_index").cast("string"))).drop("outer_pos", "inner_pos")
+    every = "CASE section " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SECTIONS.items()) + " END"
+    rows = pages.select("stem", "section", "page_number", F.posexplode(F.expr(every)).alias("entry_index", "e"))
+    return rows.select("stem", "section", "page_number", "e.*", "entry_index", F.concat_ws(":", "stem", F.col("entry_index").cast("string")).alias("stable_id"))
 
 
 #: Words that mark a business in a name; fixed values.
@@ -97,7 +92,33 @@ def confidence_flags(status: Column, kind: Column, score: Column, least: float =
     return F.array_compact(F.array(flag))
 
 
-def full_address(street: Column, number: Column) -> Column:
-    """Street and number; the number isn't repeated where the street already ends with it."""
-    s, n = F.btrim(F.coalesce(street, F.lit(""))), F.btrim(F.coalesce(number, F.lit("")))
-    return F.nullif(F.when((n == "") | (s == n) | s.endswith(F.concat(F.lit(" "), n)), s).otherwise(F.btrim(F.concat_ws(" ", s, n))), F.lit(""))
+def presented(rows: DataFrame, kind: Column, now: str, gone: str, gone_label: str) -> DataFrame:
+    """Adds kind, title, subtitle, detail, address and on_map, as an entry is shown.
+
+    ``now`` stands before today's address; where that is ``gone``, ``gone_label`` alone is shown.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
+    occupation, about = first(text("occupation_expanded"), text("occupation")), first(text("description"), text("notes"))
+    role, parent, modern = text("role"), text("parent_organization"), text("address_modern")
+    today = F.when(modern == gone, gone_label).when(modern != "", F.concat(F.lit(f"{now} "), modern))
+    address = F.concat_ws(" · ", F.nullif(text("address_full"), F.lit("")), today)
+    told = rows.withColumn("kind", kind)
+    k = F.col("kind")
+    subtitle = (
+        F.when(k == "organization", first(about, occupation, parent))
+        .when(k == "institutional", F.concat_ws(" / ", F.nullif(role, F.lit("")), F.nullif(parent, F.lit(""))))
+        .when(k.isin("advertisement", "text"), first(about, occupation))
+        .otherwise(occupation)
+    )
+    detail = F.when(k == "organization", first(about, occupation, parent)).when(k == "institutional", first(role, parent, about)).when(k.isin("advertisement", "text"), first(about, occupation)).otherwise(occupation)
+    badge = F.when(k == "advertisement", "advertisement").when(k == "text", "text").when((k == "institutional") | ((k == "organization") & (text("section") == "institutional")), "institution").when(k == "organization", "organization")
+    shown = {
+        "title": entry_name(F.col("name"), F.col("initials"), F.col("name_prefix")),
+        "badge": badge,
+        "subtitle": subtitle,
+        "detail": first(detail, F.lit("-")),
+        "address": address,
+        "on_map": ~k.isin("institutional", "text") | (address != ""),
+    }
+    return told.withColumns(shown)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.cluster import shared_folder
+
 
 def lookup_with_fallback(rows: DataFrame, table: DataFrame, first: str, second: str, key: str, values: Sequence[str]) -> DataFrame:
     """``values`` of the row that ``first`` finds as a whole, else of the one that ``second`` finds; adds hit (1, 2 or null)."""
@@ -57,16 +59,15 @@ def nearest_in_box(points: DataFrame, places: DataFrame, point_id: str, place_id
     return met.groupBy(point_id).agg(F.min(F.struct("dist2", place_id)).alias("b")).select(point_id, f"b.{place_id}", "b.dist2")
 
 
-def first_range(rows: DataFrame, ranges: DataFrame, value: str, default: str) -> DataFrame:
-    """``label`` of the first range (by ``place``) that holds the value, both ends included; else the default.
+def first_range(rows: DataFrame, ranges: Sequence[tuple[int, int, str]], value: str, default: str) -> DataFrame:
+    """Adds label: that of the first (low, high, label) that holds the value, both ends included; else the default.
 
-    The table of ranges is configuration and small.
+    The ranges are configuration, so they become one expression; no row moves.
     """
-    met = F.broadcast(ranges)
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    found = keyed.join(met, (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")), "left")
-    best = found.groupBy("_row", *rows.columns).agg(F.min_by("label", "place").alias("label"))
-    return best.select(*rows.columns, F.coalesce("label", F.lit(default)).alias("label"))
+    label = F.lit(default)
+    for low, high, name in reversed(ranges):
+        label = F.when(F.col(value).between(low, high), name).otherwise(label)
+    return rows.withColumn("label", label)
 
 
 def as_of(rows: DataFrame, marks: DataFrame, by: Sequence[str], at: str, value: str) -> DataFrame:
@@ -108,14 +109,25 @@ def match_or_fingerprint(changes: DataFrame, entries: DataFrame, change_id: str,
     return hit.unionByName(rest.join(marked, list(mark)).select(change_id, "entry_id", F.lit(True).alias("fell_back")))
 
 
+def next_number(rows: DataFrame, by: Sequence[str], number: str, value: str) -> DataFrame:
+    """(by, number, value, next_value): rows of a group whose numbers follow each other; of equal numbers the least value."""
+    one = rows.groupBy(*by, number).agg(F.min(value).alias(value))
+    after = one.select(*by, (F.col(number) - 1).alias(number), F.col(value).alias(f"next_{value}"))
+    return one.join(after, [*by, number])
+
+
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def cascade(rows: DataFrame, row_id: str, rules: Sequence[tuple[str, Rule]]) -> DataFrame:
-    """(row_id, place_id, rule): rules in order, each sees the rows that none before has placed, and the placements so far."""
+    """(row_id, place_id, rule): rules in order, each sees the rows that none before has placed, and the placements so far.
+
+    Each rule's placements are checkpointed, so no later rule computes them again.
+    """
+    shared_folder(rows.sparkSession)
     placed, left = None, rows
     for name, rule in rules:
-        found = rule(left, placed).groupBy(row_id).agg(F.min("place_id").alias("place_id")).withColumn("rule", F.lit(name))
+        found = rule(left, placed).groupBy(row_id).agg(F.min("place_id").alias("place_id")).withColumn("rule", F.lit(name)).checkpoint()
         placed = found if placed is None else placed.unionByName(found)
         left = left.join(found.select(row_id), row_id, "left_anti")
     return placed

@@ -40,9 +40,13 @@ def established(rows: DataFrame, column: str, over: int = 10, blocked: Sequence[
 
 
 def inverted_index(rows: DataFrame, key: Column, value: Column) -> DataFrame:
-    """(key, ids): the sorted values of each key, blank keys left out."""
-    told = rows.select(F.nullif(F.lower(F.btrim(key)), F.lit("")).alias("key"), value.alias("v")).where("key is not null")
-    return told.groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("ids"))
+    """(key, ids): the sorted values of each key, blank keys left out. For keys of bounded use; ``postings`` keep a row each."""
+    return postings(rows, key, value).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def postings(rows: DataFrame, key: Column, value: Column) -> DataFrame:
+    """(key, id): the index as rows, which a lookup filters and gathers, whatever a key's use."""
+    return rows.select(F.nullif(F.lower(F.btrim(key)), F.lit("")).alias("key"), value.alias("id")).where("key is not null")
 
 
 def vote(rows: DataFrame, by: Sequence[str], ballot: str, least: int = 3, share: float = 0.6) -> DataFrame:
@@ -53,16 +57,27 @@ def vote(rows: DataFrame, by: Sequence[str], ballot: str, least: int = 3, share:
     return best.select(*by, "b.*", "cast").where((F.col("votes") >= least) & (F.col("votes") >= share * F.col("cast")))
 
 
+def middles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, low, high): the two middle values of each group, equal where their number is odd.
+
+    Values are counted first, so what a group's window sees is its distinct values with running counts.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)
+    told = counts.withColumns({"_to": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    at = lambda place: F.min(F.when(F.col("_to") >= place, F.col(value)))
+    return told.groupBy(by).agg(at(F.ceil(F.col("_all") / 2)).alias("low"), at(F.floor(F.col("_all") / 2) + 1).alias("high"))
+
+
 def within_median(rows: DataFrame, by: str, value: str, factor: float = 1.25) -> DataFrame:
-    """Rows at most ``factor`` times their group's median; adds median. The exact median is an aggregate, not a sort of the group."""
-    mids = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    """Rows at most ``factor`` times their group's median; adds median."""
+    mids = middles(rows, by, value).select(F.col(by).alias("_by"), ((F.col("low") + F.col("high")) / 2).alias("median"))
     return rows.join(mids, F.col(by).eqNullSafe(F.col("_by"))).where(F.col(value) <= factor * F.col("median")).drop("_by")
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The upper of the two middle values of each group."""
-    ranked = rows.withColumns({"_r": F.row_number().over(Window.partitionBy(by).orderBy(value)), "_n": F.count("*").over(Window.partitionBy(by))})
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias("upper_median"))
+    return middles(rows, by, value).select(by, F.col("high").alias("upper_median"))
 
 
 def piles(rows: DataFrame, place: str, parts: Sequence[str], least: int = 3) -> DataFrame:
@@ -79,7 +94,7 @@ def histogram(rows: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 def cost_report(usage: DataFrame, prices: DataFrame, model: str, units: str) -> DataFrame:
     """Units and cost of each model; no price, no cost."""
     total = usage.groupBy(F.col(model).alias("model")).agg(F.sum(units).alias("units"), F.count("*").alias("calls"))
-    return total.join(F.broadcast(prices), "model", "left").withColumn("cost", F.col("units") * F.col("price")).select("model", "units", "calls", "cost")
+    return total.join(prices, "model", "left").withColumn("cost", F.col("units") * F.col("price")).select("model", "units", "calls", "cost")
 
 
 def leave_one_out(rows: DataFrame, by: Sequence[str], at: str, value: str, bounds: Sequence[tuple[str, float]]) -> DataFrame:

@@ -7,11 +7,12 @@ Only the postings of the query's prefixes are read for a query; written with
 
 from __future__ import annotations
 
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import edit_limit, edit_score, query_terms, terms
+from quarry.functions.text import edit_limit, edit_score, query_terms, terms, unmarked
 
 K1, B = 1.2, 0.75
 CANDIDATES = 500
@@ -25,6 +26,26 @@ def build_index(rows: DataFrame, row_id: str, columns: list[str]) -> tuple[DataF
     return postings, stats
 
 
+def write_index(index: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Postings laid out by head, so a search reads the folders of its prefixes alone, and stats beside them."""
+    index[0].repartition("head", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    index[1].write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.option("basePath", f"{path}/postings").schema("term string, row_id long, tf long, head string").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
+def refreshed_index(index: tuple[DataFrame, DataFrame], changed: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The index after inserts, updates and deletes: ``changed`` has the rows as they are now; rows whose columns are all null leave it.
+
+    Only the changed rows are split into terms again; the others' postings stay.
+    """
+    ids = changed.select(F.col(row_id).alias("row_id")).distinct()
+    new = build_index(changed.dropna("all", subset=columns), row_id, columns)
+    return tuple(old.join(ids, "row_id", "left_anti").unionByName(fresh.select(*old.columns)) for old, fresh in zip(index, new, strict=True))
+
+
 def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], every: bool = True) -> DataFrame:
     """(row_id, rank) of rows that hold all (or any) prefixes; lower ranks are better.
 
@@ -72,6 +93,19 @@ def search_fuzzy(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str
     return best.withColumn("dist", edit_score(words, F.col("name"))).where(F.col("dist") <= edit_limit(words)).orderBy("dist", "min_rank", "cluster_id").offset(offset).limit(limit).select("cluster_id", "name", "dist", "min_rank")
 
 
+def search_names(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str, row_id: str, cluster: str, name: str, canonical: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """As ``search_fuzzy`` by the canonical name of a cluster, or its first mention's without one; adds total, the survivors among the candidates.
+
+    Words of the query are what stands between spaces and punctuation.
+    """
+    words = [w for w in re.split(r"[^\w]+|_", unmarked(query).lower()) if len(w) >= 2]
+    near = group_hits(rank_rows(*index, [w[:3] if len(w) >= 4 else w for w in words], every=False), rows, row_id, cluster, [name, canonical])
+    best = near.orderBy("min_rank", "cluster_id").limit(CANDIDATES).withColumn("name", F.coalesce(F.nullif(F.col("mentions")[0][canonical], F.lit("")), F.col("mentions")[0][name]))
+    left = best.withColumn("dist", edit_score(words, F.col("name"))).where(F.col("dist") <= edit_limit(words))
+    total = F.count("*").over(Window.partitionBy(F.lit(0)))  # of at most CANDIDATES rows
+    return left.withColumn("total", total).orderBy("dist", "min_rank", "cluster_id").offset(offset).limit(limit).select("cluster_id", "name", "dist", "min_rank", "total")
+
+
 def bm25_sql(prefixes: list[str], source: str, every: bool = True) -> str:
     """The ranking in DuckDB over a relation ``source`` with (row_id, text)."""
     tests = " UNION ALL ".join(f"SELECT {k} AS k, row_id, term, tf FROM p WHERE starts_with(term, '{x}')" for k, x in enumerate(prefixes))

@@ -229,11 +229,10 @@ def flatten_inherit(spark, sf_dir):
 UNION ALL SELECT lang, doc_id || ':0', 'Unknown', source FROM documents WHERE lang = 'es'""")
 def flatten_union_sections(spark, sf_dir):
     """Page documents of every section kind, flattened: registers by name and street, institutions, found addresses."""
-    from quarry.sources.schemas import ENTRY, PAGE
+    from quarry.sources.schemas import PAGE
 
     d = table(spark, sf_dir, "documents")
     kind = {"en": "name_register", "fr": "institutional", "de": "street_register", "es": "other"}
-    names = [x.split(": ")[0] for x in ENTRY[len("struct<") : -1].split(", ")]
     name = F.to_json(F.array(F.struct(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"))))
     section = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])[F.col("lang")]
     told = F.concat(
@@ -243,7 +242,6 @@ def flatten_union_sections(spark, sf_dir):
         .otherwise(F.concat(F.lit(',"addresses_found":[{"address_street":"'), "source", F.lit('"}]'))), F.lit("}"),
     )
     pages = d.select(F.col("doc_id").cast("string").alias("stem"), F.from_json(told, PAGE).alias("p")).select("stem", "p.*")
-    assert names
     back = F.create_map(*[F.lit(x) for k, v in kind.items() for x in (v, k)])[F.col("section")]
     return flatten.flatten_pages(pages).select(back.alias("section"), "stable_id", "name", F.col("address_street").alias("street"))
 
@@ -324,13 +322,13 @@ def left_group_count(spark, sf_dir):
 NEAR = "(VALUES (0, 0), (1, 2), (2, -2), (3, 4), (4, -4), (5, 1), (6, -1)) v(t, d)"
 
 
-@query(f"""WITH i AS (SELECT p_type AS street, p_size AS number, min(p_partkey) AS place_id FROM part WHERE p_size % 5 = 0 OR p_size % 7 = 3 GROUP BY 1, 2),
+@query(f"""WITH i AS (SELECT p_type AS street, p_size AS number, min(p_partkey) AS place_id FROM part GROUP BY 1, 2),
 p AS (SELECT p_partkey, 0 AS a, p_name AS street, p_size FROM part UNION ALL SELECT p_partkey, 1, p_type, p_size FROM part),
 h AS (SELECT p_partkey, a, CASE WHEN t = 0 THEN 0 ELSE t + 9 END AS tier, place_id FROM p, {NEAR} JOIN i ON i.street = p.street AND i.number = p.p_size + d)
 SELECT p_partkey, place_id, CAST(a AS INTEGER) AS alias_rank, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY a, tier, place_id) AS r FROM h) WHERE r = 1""")
 def tiered_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    index = part.where("p_size % 5 = 0 OR p_size % 7 = 3").select(F.col("p_type").alias("street"), F.col("p_size").alias("number"), F.lit("").alias("letter"), F.col("p_partkey").alias("place_id"))
+    index = part.select(F.col("p_type").alias("street"), F.col("p_size").alias("number"), F.lit("").alias("letter"), F.col("p_partkey").alias("place_id"))
     probes = part.select("p_partkey", F.array("p_name", "p_type").alias("aliases"), F.col("p_size").alias("number"), F.lit("").alias("letter"))
     return linkage.tiered_match(probes, index, "p_partkey")
 
@@ -344,23 +342,22 @@ def knn_box(spark, sf_dir):
     return linkage.nearest_in_box(e.where("vec_id % 3 <> 0"), places, "vec_id", "place_id", 0.02).withColumn("dist2", F.round("dist2", 9))
 
 
-BOX = "SELECT p_partkey AS box_id, p_size % 40 AS x1, p_partkey % 90 AS y1, p_size % 40 + 4 AS x2, p_partkey % 90 + 6 AS y2 FROM part WHERE p_partkey % 10 = 0"
+BOX = "SELECT p_partkey AS box_id, p_size % 40 AS x1, p_partkey % 90 AS y1, p_size % 40 + 4 AS x2, p_partkey % 90 + 6 AS y2 FROM part"
 
 
 @query(f"WITH b AS ({BOX}), p AS (SELECT s_suppkey, s_nationkey * 1.5 AS x, s_suppkey % 100 AS y FROM supplier) SELECT s_suppkey, min(box_id) AS box_id FROM p JOIN b ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY s_suppkey")
 def hit_test_rect(spark, sf_dir):
-    boxes = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr("p_partkey AS box_id", "p_size % 40 AS x1", "p_partkey % 90 AS y1", "p_size % 40 + 4 AS x2", "p_partkey % 90 + 6 AS y2")
+    boxes = table(spark, sf_dir, "part").selectExpr("p_partkey AS box_id", "p_size % 40 AS x1", "p_partkey % 90 AS y1", "p_size % 40 + 4 AS x2", "p_partkey % 90 + 6 AS y2")
     points = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey * 1.5D AS x", "s_suppkey % 100 AS y")
     return ordered.first_hit(points, boxes, "s_suppkey", "box_id", 10.0)
 
 
-RANGES = [(0, 1, 10, "low"), (1, 8, 20, "mid"), (2, 30, 45, "high")]
+RANGES = [(1, 10, "low"), (8, 20, "mid"), (30, 45, "high")]
 
 
 @query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'low' WHEN p_size BETWEEN 8 AND 20 THEN 'mid' WHEN p_size BETWEEN 30 AND 45 THEN 'high' ELSE 'generic' END AS label FROM part")
 def range_join_first(spark, sf_dir):
-    ranges = spark.createDataFrame(RANGES, "place int, low int, high int, label string")
-    return linkage.first_range(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ranges, "p_size", "generic").select("p_partkey", "label")
+    return linkage.first_range(table(spark, sf_dir, "part"), RANGES, "p_size", "generic").select("p_partkey", "label")
 
 
 @query("""SELECT a.event_id, b.event_id AS mark FROM (SELECT * FROM events WHERE event_type <> 'error') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
@@ -394,9 +391,8 @@ def fuzzy_antijoin(spark, sf_dir):
 
 @query("""WITH k AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS m FROM part GROUP BY ALL) SELECT a.p_brand, a.p_type, a.p_size AS n, a.m AS here, b.m AS next_one FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_size = a.p_size + 1""")
 def offset_selfjoin(spark, sf_dir):
-    k = table(spark, sf_dir, "part").groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("m"))
-    b = k.select("p_brand", "p_type", (F.col("p_size") - 1).alias("p_size"), F.col("m").alias("next_one"))
-    return k.join(b, ["p_brand", "p_type", "p_size"]).select("p_brand", "p_type", F.col("p_size").alias("n"), F.col("m").alias("here"), "next_one")
+    out = linkage.next_number(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_size", "p_partkey")
+    return out.select("p_brand", "p_type", F.col("p_size").alias("n"), F.col("p_partkey").alias("here"), F.col("next_p_partkey").alias("next_one"))
 
 
 @query("""WITH a AS (SELECT s_suppkey, min(p_partkey) AS place_id FROM supplier JOIN part ON p_size = s_nationkey AND p_partkey % 50 = s_suppkey % 50 GROUP BY 1),
@@ -524,16 +520,16 @@ def alignment_quality(spark, sf_dir):
 
 # ---------------------------------------------------------------- ordered rows
 
-ANCHOR = "CASE WHEN event_type = 'click' THEN CASE WHEN value < 50 THEN 'A' ELSE 'b' END END"
+ANCHOR = "CASE WHEN event_type = 'error' AND value > 60 THEN CASE WHEN value < 80 THEN 'A' ELSE 'b' END END"
 
 
 @query(f"""WITH t AS (SELECT event_id, user_id, {ANCHOR} AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 n AS (SELECT event_id, last_value(a IGNORE NULLS) OVER b AS p, first_value(a IGNORE NULLS) OVER f AS q, first_value(CASE WHEN a IS NOT NULL THEN i END IGNORE NULLS) OVER f - i AS d FROM t
-WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
-SELECT event_id, CASE WHEN p IS NOT NULL AND (q IS NULL OR lower(p) = lower(q)) THEN p WHEN p IS NULL AND d <= 2 THEN q END AS inferred FROM n""")
+WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING))
+SELECT event_id, CASE WHEN p IS NOT NULL AND (q IS NULL OR lower(p) = lower(q)) THEN p WHEN p IS NULL AND d <= 5 THEN q END AS inferred FROM n""")
 def nearest_anchor_60(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return ordered.nearest_anchor(rows, "user_id", ["event_id"], F.expr(ANCHOR), 3, 2).select("event_id", "inferred")
+    return ordered.nearest_anchor(rows, "user_id", ["event_id"], F.expr(ANCHOR)).select("event_id", "inferred")
 
 
 @query("SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -541,14 +537,13 @@ def prev_next(spark, sf_dir):
     return ordered.neighbours(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "prev", "next")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS k, l_partkey AS v, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_quantity < 3), g AS (SELECT k, v, lead(v) OVER (PARTITION BY k ORDER BY v, o) AS nx FROM r),
-b AS (SELECT k, count(*) AS n, max(nx - v) AS g, max_by((v + nx) / 2, (nx - v) * 1000000 - v) AS mid FROM g GROUP BY k)
-SELECT b.k AS l_suppkey, mid FROM b JOIN r ON r.k = b.k WHERE n >= 6 AND g >= 0.08 * (SELECT max(p_partkey) + 1 FROM part) AND mid BETWEEN 0.3 * (SELECT max(p_partkey) + 1 FROM part) AND 0.7 * (SELECT max(p_partkey) + 1 FROM part)
-GROUP BY b.k, mid, n HAVING least(count(*) FILTER (WHERE v < mid), count(*) FILTER (WHERE v >= mid)) >= greatest(3, 0.15 * n)""")
+@query("""WITH g AS (SELECT user_id AS k, value AS v, lead(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS nx FROM events),
+b AS (SELECT k, count(*) AS n, max(nx - v) AS g, max_by((v + nx) / 2, {'g': nx - v, 'v': -v}) FILTER (WHERE nx IS NOT NULL) AS mid FROM g GROUP BY k)
+SELECT b.k AS user_id, round(mid, 6) AS mid FROM b JOIN events e ON e.user_id = b.k WHERE n >= 6 AND g >= 3 AND mid BETWEEN 10 AND 70
+GROUP BY b.k, mid, n HAVING least(count(*) FILTER (WHERE value < mid), count(*) FILTER (WHERE value >= mid)) >= greatest(3, 0.15 * n)""")
 def gap_detect(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    width = table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("width"))  # one row
-    return ordered.column_gap(rows.join(F.broadcast(width)), "l_suppkey", "l_partkey", F.col("width"), "o")
+    out = ordered.column_gap(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", F.lit(100.0), "event_id", 6, 0.03, (0.1, 0.7))
+    return out.withColumn("mid", F.round("mid", 6))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, greatest(1, length(text)) AS n FROM conversations)
@@ -600,7 +595,7 @@ def except_sets(spark, sf_dir):
 def geojson_features(spark, sf_dir):
     from quarry.sources.writers import features
 
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     point = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("n_nationkey").cast("string"), F.lit(","), F.col("n_regionkey").cast("string"), F.lit("]}"))
     rows = rows.withColumn("geometry", point).withColumn("r_name", F.when(F.col("n_regionkey") != 0, F.col("r_name")))
     return features(rows, "geometry", ["n_nationkey", "r_name"], "n_nationkey")
@@ -619,13 +614,16 @@ def events_lww_stream(spark, sf_dir):
     """The events as a stream of edits (a glob, since a stream's source is no single file), merged batch by batch; the newest version of the table."""
     import uuid
 
+    from quarry.operators.cluster import shared_folder
     from quarry.streaming.corrections import merge_stream, newest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     batch = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     edits = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/even[t]s.parquet").select(*batch.columns)
     merge_stream(edits, f"{path}/table", "user_id", "ts", "event_id", f"{path}/checkpoint").awaitTermination()
     return newest(batch, f"{path}/table").select("user_id", "event_id", "event_type")
 
 
+
+
+from quarry.plans import records  # noqa: E402, F401  registers its queries here
