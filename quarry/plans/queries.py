@@ -537,12 +537,12 @@ def prev_next(spark, sf_dir):
     return ordered.neighbours(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "prev", "next")
 
 
-@query("""WITH g AS (SELECT user_id AS k, value AS v, lead(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS nx FROM events),
+@query("""WITH e AS (SELECT user_id, event_id, value % 50 AS value FROM events), g AS (SELECT user_id AS k, value AS v, lead(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS nx FROM e),
 b AS (SELECT k, count(*) AS n, max(nx - v) AS g, max_by((v + nx) / 2, {'g': nx - v, 'v': -v}) FILTER (WHERE nx IS NOT NULL) AS mid FROM g GROUP BY k)
-SELECT b.k AS user_id, round(mid, 6) AS mid FROM b JOIN events e ON e.user_id = b.k WHERE n >= 6 AND g >= 3 AND mid BETWEEN 10 AND 70
+SELECT b.k AS user_id, round(mid, 6) AS mid FROM b JOIN e ON e.user_id = b.k WHERE n >= 6 AND g >= 4 AND mid BETWEEN 15 AND 35
 GROUP BY b.k, mid, n HAVING least(count(*) FILTER (WHERE value < mid), count(*) FILTER (WHERE value >= mid)) >= greatest(3, 0.15 * n)""")
 def gap_detect(spark, sf_dir):
-    out = ordered.column_gap(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", F.lit(100.0), "event_id", 6, 0.03, (0.1, 0.7))
+    out = ordered.column_gap(table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("value % 50").alias("value")), "user_id", "value", F.lit(50.0), "event_id")
     return out.withColumn("mid", F.round("mid", 6))
 
 
