@@ -31,7 +31,8 @@ def refresh_searchable(rows: DataFrame, columns: Sequence[str], into: str = "sea
 
 def last_writer_wins(edits: DataFrame, key: str, at: Column, source: str) -> DataFrame:
     """The edit of each key with the latest time; the earliest source wins ties. Combined before the shuffle."""
-    best = F.max_by(F.struct(*edits.columns), F.struct(at, -F.col(source)))
+    early = -F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(0))
+    best = F.min_by(F.struct(*edits.columns), F.struct(early, F.col(source)))
     return edits.groupBy(F.col(key).alias("_key")).agg(best.alias("_b")).select("_b.*")
 
 

@@ -52,7 +52,7 @@ def postings(rows: DataFrame, key: Column, value: Column) -> DataFrame:
 def vote(rows: DataFrame, by: Sequence[str], ballot: str, least: int = 3, share: float = 0.6) -> DataFrame:
     """The most common ballot of each group with at least ``least`` votes and ``share`` of them; ties go by ballot."""
     counts = rows.groupBy(*by, ballot).agg(F.count("*").alias("votes"))
-    first = F.max_by(F.struct(ballot, "votes"), F.struct(F.col("votes"), -F.col(ballot)))
+    first = F.min_by(F.struct(ballot, "votes"), F.struct(-F.col("votes"), F.col(ballot)))
     best = counts.groupBy(*by).agg(first.alias("b"), F.sum("votes").alias("cast"))
     return best.select(*by, "b.*", "cast").where((F.col("votes") >= least) & (F.col("votes") >= share * F.col("cast")))
 

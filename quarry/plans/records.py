@@ -564,3 +564,55 @@ def fuzzy_canonical(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumns({"cluster_id": F.concat(F.lit("n-"), "p_name"), "canonical": F.when(F.expr("p_size % 2 = 0"), F.col("p_name")).otherwise("")})
     index = search.build_index(rows, "p_partkey", ["p_name"])
     return search.search_names(index, rows, "smal, ringg!", "p_partkey", "cluster_id", "p_name", "canonical", 20).withColumn("min_rank", F.round("min_rank", 6))
+
+
+# ---------------------------------------------------------------- whole pipelines
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id || ':0' AS stable_id, 'n' || (doc_id % 50) AS name, source, doc_id % 4 = 0 AS o, CASE WHEN doc_id % 4 = 0 THEN 99 ELSE doc_id % 7 END AS number, CASE WHEN doc_id % 5 = 0 THEN 'p' || (doc_id % 3) END AS pand FROM documents),
+a AS (SELECT *, CASE WHEN source = 'src1' THEN 'Source One' ELSE source END AS street, CASE WHEN source = 'src1' THEN 'Source One ' || number WHEN o THEN source || ' 99' END AS full_ FROM d),
+g AS (SELECT *, CASE WHEN number < 10 AND source = 'src1' THEN 'ok' WHEN number < 10 AND source = 'src2' THEN 'no_match' END AS status FROM a)
+SELECT stable_id, street AS address_street, CAST(number AS VARCHAR) AS address_number, full_ AS address_full, status, CASE WHEN status = 'ok' THEN CAST(number AS DOUBLE) END AS lat, CASE WHEN status IS NOT NULL THEN CASE WHEN status = 'ok' THEN 'adres' END WHEN pand IS NOT NULL AND doc_id % 10 = 0 THEN 'approx' END AS geocode_type,
+o AS flag_verified, CASE WHEN doc_id % 8 = 0 THEN '1,2,3,4' END AS box, pand AS pand_id, 'sha1:' || sha1(name || '|' || coalesce(lower(full_), '')) AS fingerprint, CASE WHEN o THEN name || ' ' || source || ' 99' ELSE name END AS searchable_text,
+CASE WHEN pand IS NULL THEN stable_id ELSE min(stable_id) OVER (PARTITION BY name, pand) END AS person_id FROM g""")
+def store_build(spark, sf_dir):
+    from quarry.operators import store
+    from quarry.sources.schemas import OVERRIDE, PAGE
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "doc_id", "source")
+    entry = F.to_json(F.array(F.struct(F.expr("concat('n', doc_id % 50)").alias("name"), F.col("source").alias("address_street"), F.expr("CAST(doc_id % 7 AS STRING)").alias("address_number"))))
+    book = d.select("stem", F.from_json(F.concat(F.lit('{"section":"name_register","entries":'), entry, F.lit("}")), PAGE).alias("p")).select("stem", "p.*")
+    edit = F.expr("""concat('{"fields":{"address_number":"99"},"flags":{"verified":true}', if(doc_id % 8 = 0, ',"bbox":{"value":[1,2,3,4]}', ''), '}')""")
+    overrides = d.where("doc_id % 4 = 0").select(F.concat("stem", F.lit(":0")).alias("stable_id"), F.from_json(edit, OVERRIDE).alias("o")).select("stable_id", "o.*")
+    geocodes = spark.createDataFrame([(f"{s} {k}", status, float(k), float(k), 11.0, kind) for k in range(10) for s, status, kind in (("source one", "ok", "adres"), ("src2", "no_match", None))], "address string, status string, lat double, lng double, score double, type string")
+    matches = d.where("doc_id % 5 = 0").selectExpr("concat(stem, ':0') AS stable_id", "concat('p', doc_id % 3) AS pand_id", "doc_id % 10 = 0 AS approx")
+    out = store.build_store(book, overrides, geocodes, matches, {"src1": "Source One"}, {}, [r"n z"])["entries"]
+    box = F.array_join(F.transform("entry_bbox", lambda x: x.cast("string")), ",").alias("box")
+    return out.select("stable_id", "address_street", "address_number", "address_full", "status", "lat", "geocode_type", "flag_verified", box, "pand_id", "fingerprint", "searchable_text", "person_id")
+
+
+@query("""WITH i AS (SELECT p_name, p_size, min(p_partkey) AS place FROM part GROUP BY 1, 2), e AS (SELECT p_partkey AS stable_id, place, p_name || ' ' || p_size || 'b' AS address, p_retailprice AS lat FROM part JOIN i USING (p_name, p_size) WHERE p_retailprice > 950)
+SELECT place AS pand_id, lower(address) AS address, min_by(lat, stable_id) AS lat, string_agg(CAST(stable_id AS VARCHAR), ',' ORDER BY stable_id) AS entries FROM e GROUP BY 1, 2""")
+def link_book(spark, sf_dir):
+    from quarry.operators import store
+
+    part = table(spark, sf_dir, "part")
+    entries = part.selectExpr("p_partkey AS stable_id", "concat(p_name, ' ', p_size, 'B') AS address", "if(p_retailprice > 950, p_retailprice, NULL) AS lat", "p_retailprice AS lng")
+    index = part.selectExpr("p_name AS street", "p_size AS number", "'' AS letter", "p_partkey AS place_id")
+    out = store.link_book(entries, index, [("^large ", "l ")], [("ing", "yng")])["groups"]
+    return out.select("pand_id", "address", "lat", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+
+
+@query("""WITH e AS (SELECT vec_id, label * 10 + vec_id % 7 AS who, CASE vec_id % 2 WHEN 0 THEN 'aaa way' ELSE 'bbb way' END AS street, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings),
+m AS (SELECT a.vec_id, b.vec_id AS place, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) AS d FROM e a JOIN e b ON a.vec_id % 3 <> 0 AND b.vec_id % 3 = 0), p AS (SELECT vec_id, arg_min(place, {'d': d, 'p': place}) AS place FROM m WHERE d <= 2 GROUP BY vec_id),
+r AS (SELECT * FROM e WHERE vec_id % 3 <> 0), h AS (SELECT DISTINCT who, street, vec_id AS place FROM e WHERE vec_id % 3 = 0), f AS (SELECT who FROM h GROUP BY who HAVING count(DISTINCT place) <= 6), o AS (SELECT who, street, min(place) AS place FROM h WHERE who IN (SELECT who FROM f) GROUP BY 1, 2 HAVING count(*) = 1),
+q AS (SELECT r.vec_id, o.place FROM r JOIN o ON o.who = r.who AND o.street = r.street WHERE r.vec_id NOT IN (SELECT vec_id FROM p)), k AS (SELECT * FROM p UNION ALL SELECT * FROM q), n AS (SELECT DISTINCT r.who, r.street, k.place FROM r JOIN k USING (vec_id)),
+s AS (SELECT r.vec_id, min(n.place) AS place FROM r JOIN n ON n.who = r.who AND n.street = r.street WHERE r.vec_id NOT IN (SELECT vec_id FROM k) GROUP BY 1 HAVING count(DISTINCT n.place) = 1)
+SELECT vec_id, place AS place_id, 'point' AS rule FROM p UNION ALL SELECT vec_id, place, 'owner' FROM q UNION ALL SELECT vec_id, place, 'same_person' FROM s""")
+def place_entries(spark, sf_dir):
+    from quarry.operators import store
+
+    told = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("label * 10 + vec_id % 7").alias("who"), F.expr("if(vec_id % 2 = 0, 'aaa way', 'bbb way')").alias("street"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
+    places, rows = told.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "place_id"), told.where("vec_id % 3 <> 0")
+    owners = places.select("who", "street", F.col("place_id").alias("place"))
+    return store.place_entries(rows, places.select("place_id", "x", "y"), owners, "vec_id", ["who"], "street", 2.0, 6)

@@ -53,10 +53,11 @@ def read_geocodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """(stable_id, pand_id, approx): places by entry; an entry under several places gets the largest id."""
-    found = _json_map(spark, path, MATCH).where("key <> '_summary'").select(F.col("key").alias("pand_id"), F.explode("v.addresses").alias("address", "a"))
-    each = found.select("pand_id", F.explode("a.entries").alias("stable_id"), F.coalesce("a.approx", F.lit(False)).alias("approx"))
-    return each.groupBy("stable_id").agg(F.max(F.struct("pand_id", "approx")).alias("m")).select("stable_id", "m.*")
+    """(stable_id, pand_id, approx): places by entry; of several places of an entry the last in the file, then the largest id."""
+    found = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{MATCH}>"))).alias("at", "m")).where("m.key <> '_summary'")
+    each = found.select("at", F.col("m.key").alias("pand_id"), F.explode("m.value.addresses").alias("address", "a"))
+    each = each.select("at", "pand_id", F.explode("a.entries").alias("stable_id"), F.coalesce("a.approx", F.lit(False)).alias("approx"))
+    return each.groupBy("stable_id").agg(F.max(F.struct("at", "pand_id", "approx")).alias("m")).select("stable_id", "m.pand_id", "m.approx")
 
 
 def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
@@ -108,3 +109,23 @@ def level_tree(rows: DataFrame, page: str, order: str, level: str) -> DataFrame:
     w = Window.partitionBy(page).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     count = lambda k: F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(w)
     return rows.withColumns({"block": count(3), "line": count(4), "word": count(5)})
+
+
+def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Sidecar files of usage or failures, one object each, with the stem; unreadable ones are left out."""
+    bad = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True, mode="PERMISSIVE")
+    return bad.withColumn("stem", _stem()).where("_bad is null").drop("_bad")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of a text list, one a line; blank lines and comments are left out."""
+    return spark.read.text(path).select(F.btrim("value").alias("stem")).where("stem <> '' and not startswith(stem, '#')").distinct()
+
+
+def canonical_streets(features: DataFrame, addresses: str = "addresses", street: str = "openbare_ruimte") -> DataFrame:
+    """Distinct streets of the features' addresses."""
+    return features.select(F.explode(addresses).alias("a")).select(F.col(f"a.{street}").alias("street")).where("coalesce(street, '') <> ''").distinct()
+
+
+def stems(pages: DataFrame) -> DataFrame:
+    return pages.select("stem").distinct().orderBy("stem")

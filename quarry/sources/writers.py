@@ -60,3 +60,15 @@ def write_store(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         (writer.partitionBy("section") if name == "entries" and "section" in df.columns else writer).parquet(f"{path}/{name}")
+
+
+def write_snapshot(rows: DataFrame, path: str, kind: str = "edits-snapshot/v1") -> None:
+    """Edited and flagged entries as JSON lines that name their kind."""
+    from quarry.operators.review import touched
+
+    touched(rows, "edited_at", ["flag_verified", "flag_needs_review"]).withColumn("schema", F.lit(kind)).write.mode("overwrite").json(path)
+
+
+def write_delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """Delimited files with a header; nulls are empty."""
+    rows.write.mode("overwrite").option("nullValue", "").csv(path, header=True, sep=sep)

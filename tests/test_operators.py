@@ -140,3 +140,57 @@ def test_readers(spark, tmp_path):
     entries = spark.createDataFrame([("s", 0, ["w1"]), ("s", 3, ["w1"])], "stem string, entry_index int, word_ids array<string>")
     alto = writers.alto_pages(words, entries).first().alto
     assert 'CONTENT="a&lt;b" HPOS="0" VPOS="0" WIDTH="2" HEIGHT="3" TAGREFS="entry_0003"' in alto and alto.count("TAGREFS") == 1
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry.streaming.corrections import merge_stream, newest
+
+    schema = "k long, at timestamp, source string, v string"
+    told = lambda rows: spark.createDataFrame(rows, "k long, t string, source string, v string").select("k", F.col("t").cast("timestamp").alias("at"), "source", "v")
+    first = told([(k, "2024-01-01", "a", f"old{k}") for k in range(200)])
+    for n, rows in enumerate((first, told([(3, "2024-01-02", "b", "new"), (3, "2024-01-02", "a", "tie"), (4, "2023-01-01", "b", "late")]), told([(3, "2024-01-03", "b", "newest")]))):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        edits = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        merge_stream(edits, str(tmp_path / "out"), "k", "at", "source", str(tmp_path / "ck")).awaitTermination()
+        found = {r.k: r.v for r in newest(first, str(tmp_path / "out")).collect()}
+        assert len(found) == 200 and found[3] == ("old3", "tie", "newest")[n] and found[4] == "old4"
+    assert len([p for p in (tmp_path / "out" / "batch=2").iterdir() if p.name.startswith("bucket=")]) == 1
+
+
+def test_readers_of_logs_ids_and_matches(spark, tmp_path):
+    from quarry.sources import readers
+
+    (tmp_path / "a.json").write_text('{"model": "m", "units": 3}')
+    (tmp_path / "b.json").write_text("{broken")
+    assert [tuple(r) for r in readers.read_logs(spark, str(tmp_path / "*.json"), "model string, units long").collect()] == [("m", 3, "a")]
+    (tmp_path / "ids.txt").write_text("p1\n\n# no\n p2 \np1\n")
+    assert sorted(r.stem for r in readers.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["p1", "p2"]
+    (tmp_path / "m.map").write_text('{"z": {"addresses": {"a 1": {"entries": ["s:0", "s:1"]}}}, "_summary": {}, "b": {"addresses": {"a 2": {"entries": ["s:1"], "approx": true}}}}')
+    assert sorted(map(tuple, readers.read_matches(spark, str(tmp_path / "m.map")).collect())) == [("s:0", "z", False), ("s:1", "b", True)]
+
+
+def test_similar_streets(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import streets
+
+    rows = spark.createDataFrame([("Groote Markt", "Grote Markt"), ("Zandweg", "Havenkade"), ("", "x"), ("Heerestraat", "Heerestr.")], "a string, b string")
+    assert [r[0] for r in rows.select(streets.same_street(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
+
+
+def test_corrections_of_entries(spark):
+    from quarry.operators import flatten, store
+    from quarry.sources.schemas import OVERRIDE, PAGE
+
+    pages = spark.createDataFrame([("p", '{"section": "name_register", "entries": [{"name": "A", "address_street": "S", "address_number": "1", "address_full": "S 1"}, {"name": "B"}]}')], "stem string, j string")
+    from pyspark.sql import functions as F
+
+    rows = flatten.flatten_pages(pages.select("stem", F.from_json("j", PAGE).alias("p")).select("stem", "p.*")).withColumn("searchable_text", F.lit("old"))
+    rows = rows.withColumns({f"flag_{f}": F.lit(True) for f in store.FLAGS})
+    edit = '{"fields": {"address_number": null, "name": "C"}, "flags": {"verified": false}, "bbox": {"value": [1, 2, 3, 4]}}'
+    over = spark.createDataFrame([("p:0", edit)], "stable_id string, j string").select("stable_id", F.from_json("j", OVERRIDE).alias("o")).select("stable_id", "o.*")
+    a, b = store.apply_corrections(rows, over).orderBy("stable_id").collect()
+    assert (a.name, a.address_number, a.address_full, a.flag_verified, a.flag_needs_review, a.entry_bbox, a.searchable_text) == ("C", None, "S", False, True, [1, 2, 3, 4], "C S")
+    assert (b.name, b.flag_verified, b.searchable_text) == ("B", True, "old")
