@@ -268,7 +268,8 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
     record = F.lit(None).cast("string")
     for k, (name, value) in enumerate(lists):
         record = F.when(lot % 3 == k, F.to_json(F.struct(value.alias(name), F.col("conv_id").alias("id")))).otherwise(record)
-    asked, answer = (F.get(F.filter("turns", lambda t, r=r: t["role"] == r), 0)["text"] for r in ("user", "assistant"))
+    first = lambda role: F.get(F.filter("turns", lambda t: t["role"] == role), 0)["text"]
+    asked, answer = first("user"), first("assistant")
     pair = F.lit(None).cast("string")
     for k, (a, b) in enumerate((("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"))):
         pair = F.when(lot % 5 == k, F.to_json(F.struct(asked.alias(a), answer.alias(b), F.lit("x").alias("note")))).otherwise(pair)
