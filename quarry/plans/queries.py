@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import cluster, corrections, flatten, linkage, ordered, quality, search
+from quarry.operators import cluster, corrections, flatten, jobs, linkage, ordered, quality, review, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,23 +152,22 @@ def url_parse(spark, sf_dir):
 # ---------------------------------------------------------------- predicates and presentation
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS number FROM part WHERE length(CAST(p_size * 11 AS VARCHAR)) > 2 AND regexp_matches(CAST(p_size AS VARCHAR), '^[0-9]+$')")
+@query("SELECT p_partkey, CAST(p_size * 11 AS VARCHAR) AS number FROM part WHERE p_size * 11 > 99 AND p_partkey % 3 > 0 AND p_partkey % 5 > 0")
 def digits_predicate(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    return table(spark, sf_dir, "part").where((F.length((F.col("p_size") * 11).cast("string")) > 2) & size.rlike("^[0-9]+$")).select("p_partkey", size.alias("number"))
+    rows = table(spark, sf_dir, "part").withColumn("number", F.when(F.expr("p_partkey % 3 = 0"), "12a4").otherwise((F.col("p_size") * 11).cast("string")))
+    return review.suspicious_numbers(rows, "number", F.expr("p_partkey % 5 = 0"), F.lit(None).cast("boolean")).select("p_partkey", "number")
 
 
 @query("SELECT event_id, event_type FROM events WHERE TRY_CAST(substr(CAST(CAST(value * 100 AS BIGINT) AS VARCHAR), 1, 4) AS INTEGER) IS NULL OR length(CAST(CAST(value * 100 AS BIGINT) AS VARCHAR)) < 4 OR TRY_CAST(substr(CAST(CAST(value * 100 AS BIGINT) AS VARCHAR), 1, 4) AS INTEGER) BETWEEN 1000 AND 2500")
 def range_filter_null_passes(spark, sf_dir):
     told = F.floor(F.round(F.col("value") * 100, 0)).cast("long").cast("string")
-    head = F.substring(told, 1, 4).try_cast("int")
-    return table(spark, sf_dir, "events").where(head.isNull() | (F.length(told) < 4) | head.between(1000, 2500)).select("event_id", "event_type")
+    return table(spark, sf_dir, "events").where(review.in_code_range(told, 1000, 2500)).select("event_id", "event_type")
 
 
 @query("SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END, 99999) <= 1996")
 def built_before(spark, sf_dir):
     year = F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate"))
-    return table(spark, sf_dir, "orders").where(F.coalesce(year, F.lit(99999)) <= 1996).select("o_orderkey")
+    return table(spark, sf_dir, "orders").where(review.built_by(year, 1996)).select("o_orderkey")
 
 
 @query("""SELECT d.doc_id, CASE WHEN d.lang = 'es' THEN 'advertisement' WHEN d.lang = 'fr' THEN 'text' WHEN l.toxic = 1 THEN 'organization'
@@ -191,10 +190,11 @@ def confidence_flags(spark, sf_dir):
     return e.select("event_id", F.array_join(flatten.confidence_flags(status, kind, F.col("value")), ",").alias("flags"))
 
 
-@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(quality, 0) = 0 AND coalesce(toxic, 0) = 0")
+@query("SELECT d.doc_id, coalesce(toxic, 0) = 1 AS needs_review FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE (coalesce(quality, 0) = 0 AND coalesce(toxic, 0) = 0) OR coalesce(toxic, 0) = 1")
 def status_filter(spark, sf_dir):
-    rows = _clustered(spark, sf_dir)
-    return rows.where((F.coalesce("quality", F.lit(0)) == 0) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
+    rows, v, n = _clustered(spark, sf_dir), F.col("quality") == 1, F.col("toxic") == 1
+    some = [review.by_status(rows, v, n, s).select("doc_id", F.lit(s == "needs_review").alias("needs_review")) for s in ("unreviewed", "needs_review")]
+    return some[0].unionByName(some[1])
 
 
 @query("""WITH u AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN '' ELSE CAST(s_suppkey % 7 AS VARCHAR) END AS num, 'S' || (s_nationkey % 5) AS street, s_acctbal < 3000 AS linked FROM supplier)
@@ -307,9 +307,10 @@ def lookup_two_key_fallback(spark, sf_dir):
     return linkage.lookup_with_fallback(rows, table(spark, sf_dir, "customer"), "k1", "k2", "c_custkey", ["c_name", "c_acctbal"]).select("o_orderkey", "c_name", "c_acctbal", "hit")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_pending(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return jobs.pending(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey")
 
 
 @query("SELECT n_nationkey, n_name, count(s_suppkey) AS address_count, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY ALL")
