@@ -1,13 +1,17 @@
 """Prefix full-text search ranked by BM25, grouped by cluster, and its fuzzy variant.
 
-The index is two DataFrames: postings (term, row_id, tf) and stats (row_id, len).
-Only the postings of the query's prefixes are read for a query; written with
-``partitionBy("head")`` (a term's first two characters) they are pruned to them.
+The index is two DataFrames: postings (term, head, row_id, tf, len), where len is
+the number of the row's terms, and stats (row_id, len), whose count and mean alone
+a search needs. Only the postings of the query's prefixes are read for a query;
+written with ``partitionBy("head")`` (a term's first two characters) they are
+pruned to them, and a search shuffles those by row and nothing else.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +23,13 @@ CANDIDATES = 500
 
 
 def build_index(rows: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """postings(term, head, row_id, tf) and stats(row_id, len) over the columns' terms together."""
-    found = rows.select(F.col(row_id).alias("row_id"), F.flatten(F.array(*[F.coalesce(terms(F.col(c)), F.array().cast("array<string>")) for c in columns])).alias("terms"))
+    """postings(term, head, row_id, tf, len) and stats(row_id, len) over the columns' terms together; row ids are unique."""
+    texts = [F.coalesce(terms(F.col(c)), F.array().cast("array<string>")) for c in columns]
+    found = rows.select(F.col(row_id).alias("row_id"), (F.flatten(F.array(*texts)) if len(texts) > 1 else texts[0]).alias("terms"))
     stats = found.select("row_id", F.size("terms").cast("long").alias("len"))
-    postings = found.select("row_id", F.explode("terms").alias("term")).groupBy("term", "row_id").agg(F.count("*").alias("tf")).withColumn("head", F.substring("term", 1, 2))
+    # the outer form, as Spark puts a filter that splits the texts once more before the inner one
+    single = found.select("row_id", F.size("terms").cast("long").alias("len"), F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    postings = single.groupBy("term", "row_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")).withColumn("head", F.substring("term", 1, 2))
     return postings, stats
 
 
@@ -33,7 +40,7 @@ def write_index(index: tuple[DataFrame, DataFrame], path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.option("basePath", f"{path}/postings").schema("term string, row_id long, tf long, head string").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+    return spark.read.option("basePath", f"{path}/postings").schema("term string, row_id long, tf long, len long, head string").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
 def refreshed_index(index: tuple[DataFrame, DataFrame], changed: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -56,16 +63,17 @@ def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], eve
         return stats.select("row_id", F.lit(0.0).alias("rank")).limit(0)
     heads = sorted({p[:2] for p in prefixes if len(p) >= 2})
     near = postings.where(F.col("head").isin(heads)) if "head" in postings.columns and all(len(p) >= 2 for p in prefixes) else postings
-    hits = near.select("row_id", "tf", F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(k)) for k, p in enumerate(prefixes)]))).alias("k"))
-    uses = hits.groupBy("row_id", "k").agg(F.sum("tf").alias("f"))
-    total = stats.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    held = uses.groupBy("k").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = held.join(F.broadcast(total)).select("k", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"), "mean")  # one row a prefix
-    scored = uses.join(F.broadcast(weights), "k").join(stats, "row_id")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    ranked = scored.groupBy("row_id").agg((-F.sum(part)).alias("rank"), F.count("*").alias("matched"))
-    return (ranked.where(F.col("matched") == len(prefixes)) if every else ranked).select("row_id", "rank")
+    holds = [F.col("term").startswith(p) for p in prefixes]
+    met = near.where(reduce(or_, holds)).groupBy("row_id").agg(F.max("len").alias("len"), *[F.sum(F.when(h, F.col("tf")).otherwise(0)).alias(f"f{k}") for k, h in enumerate(holds)])
+    uses = [F.col(f"f{k}") for k in range(len(prefixes))]
+    held = met.agg(*[F.count_if(f > 0).alias(f"n{k}") for k, f in enumerate(uses)])
+    total = held.join(stats.agg(F.count("*").alias("docs"), F.avg("len").alias("mean")))  # one row beside one row
+    ranked = (met.where(reduce(and_, [f > 0 for f in uses])) if every else met).join(F.broadcast(total))
+    parts = []
+    for k, f in enumerate(uses):
+        idf = F.log((F.col("docs") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
+        parts.append(F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
+    return ranked.select("row_id", (-reduce(add, parts)).alias("rank"))
 
 
 def group_hits(ranked: DataFrame, rows: DataFrame, row_id: str, cluster: str, mention: list[str]) -> DataFrame:
