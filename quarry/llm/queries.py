@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bottomk, chat_format, cotrain, decontaminate, gru_lm, line_dedup, packing, quality_rules, secret_scan, warc
+from quarry.llm import bottomk, chat_format, cotrain, decontaminate, gru_lm, hard_negatives, line_dedup, manifest, mixture, packing, quality_rules, secret_scan, warc
 from quarry.llm.common import table
 
 #: The one conversation beside the table's: its texts are control strings of templates.
@@ -61,6 +61,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.digest_components(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.digest_mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_mixture": op13_source_mixture,
     "chat_layouts": chat_layouts,
 }
 
@@ -82,4 +97,7 @@ SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_warc": warc.SQL,
     "op10_near_dedup": bottomk.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+    "op13_source_mixture": mixture.SQL,
 }
