@@ -110,9 +110,14 @@ def street_letters(text: Column) -> Column:
 
 
 def same_street(a: Column, b: Column, head: int = 5, least: float = 0.75) -> Column:
-    """One holds the other's first letters, or they are similar; empty streets are the same as none."""
+    """One holds the other's first letters, or they are similar; empty streets are the same as none.
+
+    Only pairs that this leaves open, and whose lengths allow the similarity, reach Python; the others are sent as nulls.
+    """
     p, q = street_letters(a), street_letters(b)
-    near = p.contains(F.substring(q, 1, head)) | q.contains(F.substring(p, 1, head)) | (similarity(p, q) > least)
+    held = p.contains(F.substring(q, 1, head)) | q.contains(F.substring(p, 1, head))
+    open_ = (p != "") & (q != "") & ~held & (2 * F.least(F.length(p), F.length(q)) > least * (F.length(p) + F.length(q)))
+    near = held | F.coalesce(similarity(F.when(open_, p), F.when(open_, q)) > least, F.lit(False))
     return F.coalesce((p != "") & (q != "") & near, F.lit(False))
 
 
