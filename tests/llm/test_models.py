@@ -210,7 +210,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path, docs_of):
 
 def test_entry_has_all_training_data_queries():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names
 
 
@@ -264,3 +264,71 @@ def test_the_promised_rate_holds_over_many_draws():
             chosen = p
         broken += chosen > 0.06
     assert broken / draws <= 0.05
+
+
+def plain_log10(net, units):
+    """A document's log10 probability of classes and shortlist words, word by word."""
+    p, k = net.p, net.hidden
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, x, out = np.zeros(k), p["start"][0], 0.0
+    for u in units:
+        a = h @ p["recur"] + p["recur_bias"]
+        z, r = sig(x[:k] + a[:k]), sig(x[k : 2 * k] + a[k : 2 * k])
+        h = z * h + (1 - z) * np.tanh(x[2 * k :] + r * a[2 * k :])
+        logits, short = h @ p["classes"] + p["class_bias"], net.n_words
+        c = u // gru_lm.CLASS_SIZE if u < short else u - short + short // gru_lm.CLASS_SIZE
+        out += logits[c] - np.log(np.exp(logits).sum())
+        if u < short:
+            inner = h @ p["words"][c] + p["word_bias"][c]
+            out += inner[u % gru_lm.CLASS_SIZE] - np.log(np.exp(inner).sum())
+        x = p["inputs"][u]
+    return out / np.log(10)
+
+
+def test_scores_equal_a_loop_over_words(docs_of, monkeypatch):
+    """Whole scores, frequent, rare and unknown words included, under a network that the test knows."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{int(v)}" for v in rng.zipf(1.4, int(rng.integers(0, 60))) % 90)) for k in range(80)] + [(500, None), (501, "A b " * 700)]
+    known = {}
+
+    def fitted(coded, shared):
+        lex = known["lex"] = shared.value
+        net = known["net"] = gru_lm.Network.initial(lex.short_counts, lex.mass, 6)
+        net.p["recur_bias"] += 0.3
+        return net
+
+    monkeypatch.setattr(gru_lm, "fit_network", fitted)
+    found = {r.doc_id: r for r in gru_lm.score_documents(docs_of(rows), shortlist=8, frequent=20).collect()}
+    lex, net = known["lex"], known["net"]
+    counts = Counter()
+    for d, t in rows:
+        if not found[d].held_out:
+            counts.update([*gru_lm.words_of(t), gru_lm.END])
+    for d, t in rows:
+        words = [*gru_lm.words_of(t), gru_lm.END]
+        units = [lex.ids.get(w, lex.n_short + gru_lm.bucket(w)) for w in words]
+        inside = sum(np.log10((counts[w] + 1) / lex.mass[gru_lm.bucket(w)]) for w in words if w not in lex.ids)
+        assert found[d].score == pytest.approx(plain_log10(net, units) + inside, rel=1e-4)
+
+
+def test_vectors_are_averaged_in_groups_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "FAN_IN", 3)
+    rng = np.random.default_rng(0)
+    own = [(k, int(rng.integers(1, 9)), rng.standard_normal(5).astype("f4")) for k in range(20)]
+    df = spark.createDataFrame([(k, n, v.tobytes()) for k, n, v in own], "h long, seen long, flat binary")
+    (row,) = gru_lm.averaged(df, 20).collect()
+    total = sum(n for _, n, _ in own)
+    assert row.seen == total and np.allclose(np.frombuffer(row.flat, "f4"), sum(n / total * v for _, n, v in own), atol=1e-5)
+
+
+def test_hidden_units_grow_with_the_tokens():
+    sizes = [gru_lm.hidden_units(10**k) for k in range(4, 14)]
+    assert sizes == sorted(sizes) and sizes[0] == gru_lm.HIDDEN and sizes[-1] > 4 * gru_lm.HIDDEN
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.095), ("sf0.1", 0.27)])
+def test_held_out_gain_over_the_base_score(spark, sf, least):
+    """Log10 a token above the base score on held-out documents, less what the order of tasks may take from it."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    r = gru_lm.score_documents(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r.s - r.b) / r.n >= least
