@@ -20,7 +20,7 @@ def lookup_with_fallback(rows: DataFrame, table: DataFrame, first: str, second:
     return out.select(*rows.columns, *[found[v].alias(v) for v in values], hit.alias("hit"))
 
 
-#: House number steps to try when the number itself is gone: the same side of the street first.
+#: House number steps to try when the number itself is gone: the same side of the street first.
 NEAR_NUMBERS = (2, -2, 4, -4, 1, -1)
 
 

@@ -2,46 +2,48 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import build_address, fingerprint, searchable_text
 
+#: The keys under which an object holds its word id, in order of preference.
 ID_KEYS = ("id", "word_id", "wid", "ID")
+#: Levels of lists and objects that are opened.
+NESTED = 6
 
 
-def ids_in(value, depth: int = 5) -> list[str]:
-    """Word ids in a decoded JSON value: numbers are padded, lists flattened, objects give their first id key, up to a depth."""
-    if isinstance(value, bool):
-        value = int(value)
-    if isinstance(value, list) and depth >= 0:
-        return [x for v in value for x in ids_in(v, depth - 1)]
-    if isinstance(value, dict) and depth >= 0:
-        return next((ids_in(value[k], depth - 1) for k in ID_KEYS if k in value), [])
-    if isinstance(value, str):
-        value = value.strip()
-        return [] if not value else [f"w_{int(value):04d}" if value.isdigit() else value]
-    return [f"w_{value:04d}"] if isinstance(value, int) else []
+def _opened(value: Column) -> Column:
+    """A variant as an array of variants: a list's items, what an object holds as its id, or itself."""
+    kind = F.schema_of_variant(value)
+    item = lambda k: F.try_variant_get(value, f"$.{k}", "variant")
+    held = F.coalesce(*(F.when(item(k).isNotNull(), F.array(item(k))) for k in ID_KEYS), F.array().cast("array<variant>"))
+    return F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).when(kind.startswith("OBJECT"), held).otherwise(F.array(value))
 
 
-def word_ids(raw: Column) -> Column:
-    """Word ids of JSON text of any shape; unreadable text gives none."""
+def _padded(digits: Column) -> Column:
+    """``w_`` and a whole number of at least four places."""
+    plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    return F.concat(F.lit("w_"), F.when(F.length(plain) < 4, F.lpad(plain, 4, "0")).otherwise(plain))
+
 
-    @F.pandas_udf("array<string>")
-    def coerced(texts: pd.Series) -> pd.Series:
-        def read(text):
-            try:
-                return ids_in(json.loads(text)) if text is not None else []
-            except (ValueError, RecursionError):
-                return []
+def _as_id(value: Column) -> Column:
+    """The word id of a scalar, or null."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    told = F.when(kind == "BOOLEAN", _padded(F.when(text == "true", "1").otherwise("0"))).when(kind == "BIGINT", F.when(text.startswith("-"), F.concat(F.lit("w_-"), F.lpad(F.substring(text, 2, 40), 3, "0"))).otherwise(_padded(text)))
+    word = F.btrim(text, F.lit(" \t\r\n\f\x0b"))
+    return told.when(kind == "STRING", F.when(word.rlike("^[0-9]+$"), _padded(word)).otherwise(F.nullif(word, F.lit(""))))
 
-        return pd.Series([read(t) for t in texts], dtype=object)
 
-    return coerced(raw)
+def word_ids(raw: Column) -> Column:
+    """Word ids of JSON text of any shape, level by level: lists are opened in place, objects give the id that they hold; unreadable text gives none."""
+    values = F.coalesce(F.array(F.try_parse_json(raw)), F.array().cast("array<variant>"))
+    for _ in range(NESTED):
+        values = F.flatten(F.transform(values, _opened))
+    return F.coalesce(F.filter(F.transform(values, _as_id), lambda w: w.isNotNull()), F.array().cast("array<string>"))
 
 
 def valid_ids(ids: Column, known: Column) -> Column:
