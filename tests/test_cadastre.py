@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry as G
-from quarry.operators import runs, spatial
+from quarry.operators import linkage, runs, spatial, yards
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -197,3 +197,26 @@ def test_rules_and_their_hold_out_equal_a_loop(town, name):
             left[(w, n)] = (p, "same" if p == place else "adjoining" if d < 1 else "near" if d <= 10 else "further")
     assert said == left and len(said) > 10
     assert rule(f["rows"].limit(0), f["exact"]).count() == 0 and runs.holdout(rule, f["exact"].limit(0), f["shapes"], reach).count() == 0
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(120)] + ["", None, "loffers", "loffens", "bakker", "bakkr"]
+    left = spark.createDataFrame([(k, w, k % 2) for k, w in enumerate(words)], "a long, name string, g int")
+    right = spark.createDataFrame([(k, w, k % 2) for k, w in enumerate(words)], "b long, other string, g int")
+
+    def near(p, q):
+        if p == q:
+            return True
+        if min(len(p), len(q)) < 6 or abs(len(p) - len(q)) > 1:
+            return False
+        return sum(x != y for x, y in zip(p, q, strict=True)) == 1 if len(p) == len(q) else any(max(p, q, key=len)[:k] + max(p, q, key=len)[k + 1 :] == min(p, q, key=len) for k in range(max(len(p), len(q))))
+
+    want = {(i, j) for i, p in enumerate(words) for j, q in enumerate(words) if p and q and i % 2 == j % 2 and near(p, q)}
+    assert {(r.a, r.b) for r in linkage.similar_names(left, right, "name", "other", ["g"]).collect()} == want
+
+
+def test_readings_of_an_owner_are_one_set(spark):
+    rows = [(1, "bos", "j", "bosch", "j"), (1, "bos", "j", None, None), (2, "", "x", "vos", None)]
+    df = spark.createDataFrame(rows, "id long, n1 string, v1 string, n2 string, v2 string")
+    assert sorted(tuple(r) for r in yards.readings(df, "id", ("n1", "v1"), ("n2", "v2")).collect()) == [(1, "bos", "j"), (1, "bosch", "j"), (2, "vos", "")]
