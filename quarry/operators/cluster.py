@@ -64,7 +64,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataF
 def longest(value: Column, order: Column) -> Column:
     """The longest non-empty value of a group, the first in order on ties."""
     text = F.nullif(value, F.lit(""))
-    return F.max_by(text, F.when(text.isNotNull(), F.struct(F.length(text), -order)))
+    return F.min_by(text, F.when(text.isNotNull(), F.struct(-F.length(text), order)))
 
 
 def canonical_values(rows: DataFrame, cluster: str, order: str, texts: Sequence[str], firsts: Sequence[str] = ()) -> DataFrame:

@@ -627,4 +627,4 @@ def events_lww_stream(spark, sf_dir):
 
 
 
-from quarry.plans import cadastre, records  # noqa: E402, F401  register their queries here
+from quarry.plans import cadastre, records, upkeep  # noqa: E402, F401  register their queries here
