@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.streets import same_name
+from quarry.functions.streets import same_name, similarity
 from quarry.operators.cluster import shared_folder
 
 
@@ -100,6 +100,44 @@ def fuzzy_anti(left: DataFrame, right: DataFrame, name: str, by: Sequence[str] =
     return left.alias("l").join(there, [*same, *near], "left_anti")
 
 
+def _shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two words have in common, each as often as both hold it."""
+    times = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
+def gestalt_pairs(left: DataFrame, right: DataFrame, name: str, by: Sequence[str], head: int = 4, least: float = 0.8) -> DataFrame:
+    """(by, name, other): distinct names on both sides that are equal, or begin alike and whose gestalt ratio exceeds ``least``.
+
+    The ratio is twice the matched letters over both lengths. No more can match than the shorter name has
+    letters, nor than both have in common; so a pair above ``least`` lies in the same or the next class of
+    lengths, of which each is (2 - least) / least times the one before, and passes both bounds. Only what passes
+    is measured. Names meet on (by, beginning, class), so a hot beginning is as many keys as it has classes.
+    """
+    step = (2 - least) / least
+    size = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / F.log(F.lit(step)))
+    some = lambda df, into: df.where(F.coalesce(F.col(name), F.lit("")) != "").select(*by, F.col(name).alias(into)).distinct()
+    a, b = some(left, "_a"), some(right, "_b")
+    begin = lambda c: F.substring(c, 1, head)
+    asked = a.withColumns({"_h": begin("_a"), "_c": F.explode(F.array(*[size("_a") + d for d in (-1, 0, 1)]))})
+    met = asked.join(b.withColumns({"_h": begin("_b"), "_c": size("_b")}), [*by, "_h", "_c"])
+    both = F.length("_a") + F.length("_b")
+    close = (F.col("_a") != F.col("_b")) & (2 * F.least(F.length("_a"), F.length("_b")) > least * both)
+    close = met.where(close).where(2 * _shared_letters(F.col("_a"), F.col("_b")) > least * both).where(similarity(F.col("_a"), F.col("_b")) > least)
+    same = a.join(b.withColumn("_a", F.col("_b")), [*by, "_a"])
+    return close.select(*by, "_a", "_b").unionByName(same.select(*by, "_a", "_b")).withColumnsRenamed({"_a": name, "_b": "other"})
+
+
+def two_sided_anti(left: DataFrame, right: DataFrame, name: str, by: Sequence[str], head: int = 4, least: float = 0.8) -> DataFrame:
+    """(side, by, name): distinct names of each side without a like one on the other (``gestalt_pairs``); empty names don't count."""
+    pairs = gestalt_pairs(left, right, name, by, head, least)
+    some = lambda df: df.where(F.coalesce(F.col(name), F.lit("")) != "").select(*by, name).distinct()
+    alone = lambda side, df, found: some(df).join(found, [*by, name], "left_anti").select(F.lit(side).alias("side"), *by, name)
+    # the ratio goes from the first name to the second, so each side is asked in its own direction
+    back = gestalt_pairs(right, left, name, by, head, least)
+    return alone("left", left, pairs.select(*by, name)).unionByName(alone("right", right, back.select(*by, name)))
+
+
 def similar_names(left: DataFrame, right: DataFrame, name: str, other: str, by: Sequence[str] = (), long: int = 6) -> DataFrame:
     """Pairs of rows whose names are the same: equal, or one letter apart where both have ``long`` letters.
 

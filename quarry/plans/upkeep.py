@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import cluster, upkeep
@@ -85,3 +86,89 @@ def merged_overrides(spark, sf_dir):
 @query(f"WITH {OVERRIDDEN} SELECT count(direct) AS applied, count(other) AS fell_back, count(*) FILTER (WHERE direct IS NULL AND other IS NULL) AS missing FROM m")
 def merged_overrides_report(spark, sf_dir):
     return _overridden(spark, sf_dir)[1]
+
+
+# ---------------------------------------------------------------- ward numbers and dated versions
+
+#: Customers ask for a number of a ward in their year; parts are its versions, overlapping and partly open.
+DATED = """q AS (SELECT c_custkey AS row_id, chr(CAST(65 + c_nationkey AS INT)) AS ward, CASE WHEN c_custkey % 10 = 9 THEN 'alley' ELSE CAST(c_custkey % 40 AS VARCHAR) END AS number, CASE WHEN c_custkey % 3 = 0 THEN 'zzzzzz' ELSE 'yyyyyy' END AS street, 1800 + c_custkey % 60 AS year FROM customer),
+v AS (SELECT chr(CAST(65 + p_partkey % 25 AS INT)) AS ward, CAST((p_partkey // 25) % 40 AS VARCHAR) AS number, CASE p_size % 3 WHEN 0 THEN 'zzzzzz' WHEN 1 THEN 'xxxxxx' ELSE 'yyyyyy' END AS street, CASE WHEN p_size % 4 > 0 THEN CAST(p_size % 8 AS VARCHAR) ELSE '' END AS house, CASE WHEN p_size % 5 = 0 THEN 'north' END AS side, CASE WHEN p_size % 6 = 0 THEN 'zzzzzz' END AS before,
+  CASE WHEN p_size % 9 > 0 THEN 1800 + p_size END AS low, CASE WHEN p_size % 7 > 0 THEN 1810 + p_size * 2 END AS high FROM part),
+l AS (SELECT ward, number, min({'s': 'S' || (CAST(number AS INT) % 7), 'p': number, 'c': 'sure'}) AS lot FROM v WHERE CAST(number AS INT) % 2 = 0 GROUP BY 1, 2),
+m AS (SELECT q.row_id, list(DISTINCT v.street) AS ss, list(DISTINCT v.house) FILTER (WHERE v.house <> '') AS hs, list(DISTINCT v.side) FILTER (WHERE v.side IS NOT NULL) AS ds, bool_or(v.street = q.street OR v.before = q.street) AS ok FROM q JOIN v ON v.ward = q.ward AND v.number = q.number AND coalesce(v.low, 0) <= q.year AND q.year < coalesce(v.high, 9999) GROUP BY 1)"""
+
+
+@query(f"""WITH {DATED} SELECT q.row_id, CASE WHEN m.row_id IS NULL THEN 'none' WHEN len(hs) = 1 THEN 'house' WHEN len(hs) > 1 THEN 'ambiguous' ELSE 'street_only' END AS status, coalesce(array_to_string(list_sort(ss), ' / '), '') AS modern_street,
+coalesce(array_to_string(list_sort(hs), ' / '), '') AS modern_number, coalesce(array_to_string(list_sort(ds), ' / '), '') AS side, CASE WHEN m.row_id IS NULL THEN '' WHEN ok THEN 'ok' ELSE 'differs' END AS street_check,
+coalesce(lot.s || ' ' || lot.p, '') AS parcel, CASE WHEN q.number = 'alley' THEN 'no ward number' WHEN m.row_id IS NULL AND (q.ward, q.number) IN (SELECT (ward, number) FROM v) THEN 'only in another period' ELSE '' END AS notes
+FROM q LEFT JOIN m USING (row_id) LEFT JOIN l ON l.ward = q.ward AND l.number = q.number""")
+def modern_addresses(spark, sf_dir):
+    from quarry.operators import wards
+
+    q = table(spark, sf_dir, "customer").selectExpr("c_custkey AS row_id", "char(65 + c_nationkey) AS ward", "if(c_custkey % 10 = 9, 'alley', CAST(c_custkey % 40 AS STRING)) AS number", "if(c_custkey % 3 = 0, 'zzzzzz', 'yyyyyy') AS street", "1800 + c_custkey % 60 AS year")
+    v = table(spark, sf_dir, "part").selectExpr(
+        "char(65 + p_partkey % 25) AS ward", "CAST((p_partkey div 25) % 40 AS STRING) AS number", "CASE p_size % 3 WHEN 0 THEN 'zzzzzz' WHEN 1 THEN 'xxxxxx' ELSE 'yyyyyy' END AS street", "if(p_size % 4 > 0, CAST(p_size % 8 AS STRING), '') AS house",
+        "if(p_size % 5 = 0, 'north', NULL) AS side", "if(p_size % 6 = 0, 'zzzzzz', NULL) AS before", "if(p_size % 9 > 0, 1800 + p_size, NULL) AS `from`", "if(p_size % 7 > 0, 1810 + p_size * 2, NULL) AS until",
+    )
+    lots = v.where("CAST(number AS INT) % 2 = 0").selectExpr("ward", "number", "concat('S', CAST(number AS INT) % 7) AS section", "number AS parcel", "'sure' AS certainty").distinct()
+    out = wards.modern_addresses(q, v, lots, v.select("ward", "number").limit(0))
+    return out.select("row_id", "status", "modern_street", "modern_number", "side", "street_check", "parcel", "notes")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_size % 5 AS page, p_name AS name FROM part WHERE p_size % 3 > 0), b AS (SELECT DISTINCT p_size % 5 AS page, CASE WHEN p_size % 4 = 0 THEN p_name || 's' WHEN p_size % 4 = 1 THEN p_name || ' and daughters' ELSE p_name END AS name FROM part WHERE p_size % 3 = 0),
+m AS (SELECT a.page, a.name, b.name AS other FROM a JOIN b ON a.page = b.page AND (a.name = b.name OR (b.name = a.name || 's' AND 2.0 * length(a.name) / (2 * length(a.name) + 1) > 0.8)))
+SELECT 'left' AS side, * FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page = a.page AND m.name = a.name) UNION ALL SELECT 'right', * FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page = b.page AND m.other = b.name)""")
+def index_check(spark, sf_dir):
+    """Names of an index without a like one in the register of the page, and the other way round."""
+    from quarry.operators import linkage
+
+    part = table(spark, sf_dir, "part").selectExpr("p_size % 5 AS page", "p_name AS name", "p_size")
+    right = part.where("p_size % 3 = 0").selectExpr("page", "CASE WHEN p_size % 4 = 0 THEN concat(name, 's') WHEN p_size % 4 = 1 THEN concat(name, ' and daughters') ELSE name END AS name")
+    return linkage.two_sided_anti(part.where("p_size % 3 > 0"), right, "name", ["page"])
+
+
+# ---------------------------------------------------------------- page trees
+
+#: Events as lines of a user's page, in two columns for most, two words each.
+PAGES = """n AS (SELECT user_id AS page, event_id AS k, CASE WHEN user_id % 4 > 0 THEN event_id % 2 * 520 ELSE 200 END + CAST(floor(value) AS INT) % 40 AS x1, event_id * 7 % 900 AS y1, 100 + event_id % 50 AS w, event_id % 3 > 0 AS alike, event_type AS a, event_type || 'en' AS b FROM events),
+c AS (SELECT *, x1 + w AS x2, x1 + w / 2 AS mid, row_number() OVER (PARTITION BY page ORDER BY k) AS i FROM n)"""
+
+
+@query(f"""WITH {PAGES}, g AS (SELECT page, mid, lead(mid) OVER (PARTITION BY page ORDER BY mid, k) AS nxt, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY mid, k) AS r FROM c),
+b AS (SELECT page, n, nxt - mid AS wide, (mid + nxt) / 2 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY nxt - mid DESC NULLS LAST, r) AS best FROM g) WHERE best = 1),
+f AS (SELECT b.page, b.cut FROM b JOIN c USING (page) GROUP BY b.page, b.cut, b.n, b.wide HAVING b.n >= 6 AND wide >= 80 AND b.cut BETWEEN 300 AND 700 AND least(count(*) FILTER (WHERE c.mid < b.cut), count(*) FILTER (WHERE c.mid >= b.cut)) >= greatest(3, 0.15 * b.n)),
+o AS (SELECT c.*, f.cut, row_number() OVER (PARTITION BY c.page ORDER BY c.mid >= f.cut, CASE WHEN f.cut IS NOT NULL THEN y1 END, i) AS place FROM c LEFT JOIN f USING (page)),
+v AS (SELECT *, unnest([0, 1]) AS j, length(a) AS la, length(b) AS lb FROM o)
+SELECT page, CASE WHEN cut IS NULL THEN 'b' ELSE 'block_' || ((place - 1) // 50 + 1) END AS block, CASE WHEN cut IS NULL THEN 'l' || k ELSE printf('line_%04d', place) END AS line, CASE WHEN cut IS NULL THEN 'w' || (2 * k + j) ELSE printf('w_%04d', 2 * place - 1 + j) END AS word, CASE j WHEN 0 THEN a ELSE b END AS text,
+CAST(CASE WHEN NOT alike THEN x1 + 300 * j WHEN j = 0 THEN x1 ELSE x1 + floor((la + 1.0) / (la + lb + 1) * w) END AS INT) AS x_from, CAST(CASE WHEN NOT alike THEN x2 + 300 * j WHEN j = 0 THEN x1 + floor(CAST(la AS DOUBLE) / (la + lb + 1) * w) ELSE x2 END AS INT) AS x_to FROM v""")
+def repaired_pages(spark, sf_dir):
+    """Words of page trees after their repair, in reading order."""
+    from quarry.operators import trees
+
+    n = table(spark, sf_dir, "events").selectExpr(
+        "user_id AS page", "event_id AS k", "CAST(if(user_id % 4 > 0, event_id % 2 * 520, 200) + CAST(floor(value) AS INT) % 40 AS INT) AS x1", "CAST(event_id * 7 % 900 AS INT) AS y1", "CAST(100 + event_id % 50 AS INT) AS w", "event_id % 3 > 0 AS alike", "event_type AS a"
+    )
+    word = lambda j, text: f"named_struct('id', concat('w', 2 * k + {j}), 'text', {text}, 'bbox', if(alike, array(x1, y1, x1 + w, y1 + 20), array(x1 + {300 * j}, y1, x1 + w + {300 * j}, y1 + 20)), 'confidence', 1, 'line_id', concat('l', k))"
+    line = f"named_struct('k', k, 'line', named_struct('id', concat('l', k), 'bbox', array(x1, y1, x1 + w, y1 + 20), 'words', array({word(0, 'a')}, {word(1, 'concat(a, chr(101), chr(110))')})))"
+    pages = n.groupBy("page").agg(F.array_sort(F.collect_list(F.expr(line))).alias("rows"))
+    made = pages.select("page", F.lit(1000).alias("width"), F.array(F.struct(F.lit("b").alias("id"), F.array(*[F.lit(0)] * 4).alias("bbox"), F.transform("rows", lambda r: r["line"]).alias("lines"))).alias("blocks"))
+    blocks = trees.repaired(made).select("page", F.explode("blocks").alias("b")).select("page", F.col("b.id").alias("block"), F.explode("b.lines").alias("l"))
+    words = blocks.select("page", "block", F.col("l.id").alias("line"), F.explode("l.words").alias("w"))
+    return words.select("page", "block", "line", F.col("w.id").alias("word"), "w.text", F.col("w.bbox")[0].alias("x_from"), F.col("w.bbox")[2].alias("x_to"))
+
+
+@query("""WITH r AS (SELECT user_id AS page, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, CASE WHEN event_id % 4 = 0 THEN ' ' ELSE event_type END AS text, floor(value * 8) / 8 AS x FROM events),
+l AS (SELECT *, CASE WHEN i % 12 = 0 THEN 3 WHEN i % 4 = 1 THEN 4 ELSE 5 END AS level FROM r),
+n AS (SELECT *, i // 12 AS b, count(*) FILTER (WHERE level = 4) OVER (PARTITION BY page ORDER BY k) AS li, count(*) FILTER (WHERE level = 5 AND text <> ' ') OVER (PARTITION BY page ORDER BY k) AS w FROM l)
+SELECT page, printf('b_%03d', b) AS block, printf('l_%03d_%03d', b, li - b * 3 - 1) AS line, printf('w_%04d', w) AS word, text, CAST(round_even(x * 2, 0) AS INT) AS x_from FROM n WHERE level = 5 AND text <> ' '""")
+def level_trees(spark, sf_dir):
+    """Words of trees that level codes make up."""
+    from quarry.operators import trees
+
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, sf_dir, "events").withColumn("i", i).selectExpr("user_id AS page", "event_id AS order", "CASE WHEN i % 12 = 0 THEN 3 WHEN i % 4 = 1 THEN 4 ELSE 5 END AS level", "if(event_id % 4 = 0, ' ', event_type) AS text", "floor(value * 8) / 8 AS left", "1.0D AS top", "4.0D AS width", "2.0D AS height")
+    heads = rows.select("page").distinct().selectExpr("page", "-1L AS order", "1 AS level", "'' AS text", "0.0D AS left", "0.0D AS top", "500.0D AS width", "700.0D AS height")
+    images = heads.selectExpr("page", "1000 AS width", "1400 AS height")
+    blocks = trees.from_levels(rows.unionByName(heads), images).select("page", F.explode("blocks").alias("b")).select("page", F.col("b.id").alias("block"), F.explode("b.lines").alias("l"))
+    words = blocks.select("page", "block", F.col("l.id").alias("line"), F.explode("l.words").alias("w"))
+    return words.select("page", "block", "line", F.col("w.id").alias("word"), "w.text", F.col("w.bbox")[0].alias("x_from"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.trees import repaired
 from quarry.sources.schemas import GEOCODE, MATCH, OCR, OVERRIDE, PAGE
 
 
@@ -21,8 +22,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ocr(spark: SparkSession, path: str, version: int = 2) -> DataFrame:
-    """OCR trees of the current cache version."""
-    return spark.read.schema(OCR).json(path, multiLine=True).withColumn("stem", _stem()).where(F.col("schema_version") == version)
+    """OCR trees of the current cache version, words laid out and columns in reading order (``trees.repaired``); unreadable files give none."""
+    return repaired(spark.read.schema(OCR).json(path, multiLine=True).withColumn("stem", _stem()).where(F.col("schema_version") == version))
 
 
 def ocr_words(trees: DataFrame) -> DataFrame:
@@ -84,9 +85,12 @@ def with_bounds(rows: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
-    """Text columns; rows with fewer fields are dropped."""
+    """Text columns and _bad: the row as it stands where it has fewer or more fields, so that none is lost unseen.
+
+    Files are split among tasks, so a field doesn't run over the end of a line.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, sep=sep, header=header, mode="DROPMALFORMED", multiLine=True)
+    return spark.read.csv(path, schema=f"{schema}, _bad string", sep=sep, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
 
 
 def discover_scans(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("jpg", "jpeg", "png", "tif", "tiff")) -> DataFrame:
@@ -102,13 +106,17 @@ def scan_page(stem: Column, offset: int = 0) -> Column:
     return F.greatest(F.lit(1), F.regexp_extract(stem, r"(\d+)$", 1).try_cast("int") - offset)
 
 
-def level_tree(rows: DataFrame, page: str, order: str, level: str) -> DataFrame:
-    """Adds block, line and word numbers from level codes (3 block, 4 line, 5 word) in reading order."""
-    from pyspark.sql import Window
+def read_levels(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, order, level, page, left, top, width, height, text) of a text layer in tab-separated rows with level codes, quotes as they are.
 
-    w = Window.partitionBy(page).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda k: F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(w)
-    return rows.withColumns({"block": count(3), "line": count(4), "word": count(5)})
+    A file's rows are numbered as they stand, which needs a file in one task; a text layer is one book's.
+    """
+    fields = ("level", "page_num", "par_num", "block_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text")
+    whole = spark.read.text(path, wholetext=True).select(_stem().alias("stem"), F.posexplode(F.split("value", "\r?\n")).alias("order", "line"))
+    parts = whole.where("order > 0 and line <> ''").withColumn("f", F.split("line", "\t", len(fields)))
+    named = {c: F.get("f", F.lit(k)) for k, c in enumerate(fields)}
+    number = lambda c, kind: named[c].try_cast(kind).alias(c)
+    return parts.select("stem", "order", number("level", "int"), named["page_num"].try_cast("int").alias("page"), *[number(c, "double") for c in ("left", "top", "width", "height")], named["text"].alias("text"))
 
 
 def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
