@@ -65,9 +65,13 @@ def by_status(rows: DataFrame, verified: Column, needs_review: Column, status: s
     return rows.where({"all": F.lit(True), "verified": v, "needs_review": n, "unreviewed": ~v & ~n}[status])
 
 
-def suspicious_numbers(rows: DataFrame, number: str, linked: Column, verified: Column, least_digits: int = 2) -> DataFrame:
-    """Unlinked, unverified rows whose number is all digits and longer than ``least_digits``."""
-    return rows.where(~F.coalesce(linked, F.lit(False)) & ~F.coalesce(verified, F.lit(False)) & F.col(number).rlike(r"^[0-9]+$") & (F.length(number) > least_digits))
+def suspicious_numbers(rows: DataFrame, number: str, linked: Column, verified: Column, least_digits: int = 2, present: Sequence[str] = ()) -> DataFrame:
+    """Unlinked, unverified rows whose number is all digits and longer than ``least_digits``; what is ``present`` (box, street) is neither null nor empty."""
+    some = rows.where(~F.coalesce(linked, F.lit(False)) & ~F.coalesce(verified, F.lit(False)) & F.col(number).rlike(r"^[0-9]+$") & (F.length(number) > least_digits))
+    for c in present:
+        full = F.size(c) > 0 if rows.schema[c].dataType.typeName() == "array" else F.col(c) != ""
+        some = some.where(F.coalesce(full, F.lit(False)))
+    return some
 
 
 def number_correction(row_id: Column, number: Column) -> Column:

@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import edit_limit, edit_score, query_terms, terms, unmarked
+from quarry.operators.cluster import shared_folder
 
 K1, B = 1.2, 0.75
 CANDIDATES = 500
+#: Postings that one task writes, about.
+POSTINGS_A_FILE = 5_000_000
 
 
 def build_index(rows: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -33,16 +36,31 @@ def build_index(rows: DataFrame, row_id: str, columns: list[str]) -> tuple[DataF
     return postings, stats
 
 
-def write_index(index: tuple[DataFrame, DataFrame], path: str) -> None:
-    """Postings laid out by head, so a search reads the folders of its prefixes alone, and stats beside them."""
-    index[0].repartition("head", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+def write_index(index: tuple[DataFrame, DataFrame], path: str, postings_a_file: int = POSTINGS_A_FILE) -> None:
+    """Postings laid out by head, so a search reads the folders of its prefixes alone, stats beside them, and their count and mean.
+
+    A head is written by as many tasks as its counted postings need; heads are pairs of letters, so their counts are few.
+    """
+    counts = index[0].groupBy(F.col("head").alias("_h")).agg(F.ceil(F.count("*") / postings_a_file).cast("long").alias("_files"))
+    dealt = index[0].join(F.broadcast(counts), F.col("head") == F.col("_h")).withColumn("_salt", F.pmod(F.xxhash64("row_id"), "_files"))
+    dealt.repartition("head", "_salt").drop("_h", "_files", "_salt").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
     index[1].write.mode("overwrite").parquet(f"{path}/stats")
+    totals_of(index[1]).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def totals_of(stats: DataFrame) -> DataFrame:
+    """One row: docs and mean, all that a search needs of the stats."""
+    return stats.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.option("basePath", f"{path}/postings").schema("term string, row_id long, tf long, len long, head string").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/totals")
+
+
 def refreshed_index(index: tuple[DataFrame, DataFrame], changed: DataFrame, row_id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """The index after inserts, updates and deletes: ``changed`` has the rows as they are now; rows whose columns are all null leave it.
 
@@ -53,8 +71,8 @@ def refreshed_index(index: tuple[DataFrame, DataFrame], changed: DataFrame, row_
     return tuple(old.join(ids, "row_id", "left_anti").unionByName(fresh.select(*old.columns)) for old, fresh in zip(index, new, strict=True))
 
 
-def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], every: bool = True) -> DataFrame:
-    """(row_id, rank) of rows that hold all (or any) prefixes; lower ranks are better.
+def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], every: bool = True, totals: DataFrame | None = None) -> DataFrame:
+    """(row_id, rank) of rows that hold all (or any) prefixes; lower ranks are better. Written ``totals`` save a scan of the stats.
 
     A prefix's documents and its uses in a row are counted over all terms it begins.
     """
@@ -67,7 +85,7 @@ def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], eve
     met = near.where(reduce(or_, holds)).groupBy("row_id").agg(F.max("len").alias("len"), *[F.sum(F.when(h, F.col("tf")).otherwise(0)).alias(f"f{k}") for k, h in enumerate(holds)])
     uses = [F.col(f"f{k}") for k in range(len(prefixes))]
     held = met.agg(*[F.count_if(f > 0).alias(f"n{k}") for k, f in enumerate(uses)])
-    total = held.join(stats.agg(F.count("*").alias("docs"), F.avg("len").alias("mean")))  # one row beside one row
+    total = held.join(totals_of(stats) if totals is None else totals)  # one row beside one row
     ranked = (met.where(reduce(and_, [f > 0 for f in uses])) if every else met).join(F.broadcast(total))
     parts = []
     for k, f in enumerate(uses):
@@ -76,16 +94,25 @@ def rank_rows(postings: DataFrame, stats: DataFrame, query: str | list[str], eve
     return ranked.select("row_id", (-reduce(add, parts)).alias("rank"))
 
 
-def group_hits(ranked: DataFrame, rows: DataFrame, row_id: str, cluster: str, mention: list[str]) -> DataFrame:
-    """(cluster_id, min_rank, mentions) of the hits, mentions ordered by row."""
-    told = rows.select(F.col(row_id).alias("row_id"), F.col(cluster).alias("cluster_id"), F.struct(F.col(row_id).alias("row_id"), *[F.col(c) for c in mention if c != row_id]).alias("m"))
-    return ranked.join(told, "row_id").groupBy("cluster_id").agg(F.min("rank").alias("min_rank"), F.array_sort(F.collect_list("m")).alias("mentions"))
+def best_clusters(ranked: DataFrame, rows: DataFrame, row_id: str, cluster: str, limit: int, offset: int = 0, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Hits (row_id, cluster_id, rank, ``keep``), settled, and the best clusters (cluster_id, min_rank) with their first hit's ``keep``."""
+    shared_folder(rows.sparkSession)
+    told = rows.select(F.col(row_id).alias("row_id"), F.col(cluster).alias("cluster_id"), *keep)
+    hits = ranked.join(told, "row_id").checkpoint()
+    first = [F.min_by(c, "row_id").alias(c) for c in keep]
+    return hits, hits.groupBy("cluster_id").agg(F.min("rank").alias("min_rank"), *first).orderBy("min_rank", "cluster_id").offset(offset).limit(limit)
 
 
-def search(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str, row_id: str, cluster: str, mention: list[str], limit: int = 50, offset: int = 0) -> DataFrame:
-    """The best clusters; ties go by cluster_id."""
-    grouped = group_hits(rank_rows(*index, query), rows, row_id, cluster, mention)
-    return grouped.orderBy("min_rank", "cluster_id").offset(offset).limit(limit)
+def search(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str, row_id: str, cluster: str, mention: list[str], limit: int = 50, offset: int = 0, totals: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, min_rank, mentions) of the best clusters, mentions in order of row; ties go by cluster_id.
+
+    Clusters are ranked on their hits' ids and ranks; what mentions show is fetched for the best ones alone.
+    """
+    hits, best = best_clusters(rank_rows(*index, query, totals=totals), rows, row_id, cluster, limit, offset)
+    held = hits.join(F.broadcast(best), "cluster_id").select("cluster_id", "min_rank", "row_id")
+    shown = rows.select(F.col(row_id).alias("row_id"), F.struct(F.col(row_id).alias("row_id"), *[F.col(c) for c in mention if c != row_id]).alias("m"))
+    grouped = held.join(shown, "row_id").groupBy("cluster_id").agg(F.first("min_rank").alias("min_rank"), F.array_sort(F.collect_list("m")).alias("mentions"))
+    return grouped.orderBy("min_rank", "cluster_id")
 
 
 def count_clusters(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str, row_id: str, cluster: str) -> DataFrame:
@@ -96,8 +123,8 @@ def count_clusters(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: s
 def search_fuzzy(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str, row_id: str, cluster: str, name: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """(cluster_id, name, dist, min_rank): the best CANDIDATES clusters by short prefixes, filtered and ordered by edit distance."""
     words = [w for w in query.lower().split() if len(w) >= 2]
-    near = group_hits(rank_rows(*index, [w[:3] if len(w) >= 4 else w for w in words], every=False), rows, row_id, cluster, [name])
-    best = near.orderBy("min_rank", "cluster_id").limit(CANDIDATES).withColumn("name", F.col("mentions")[0][name])
+    ranked = rank_rows(*index, [w[:3] if len(w) >= 4 else w for w in words], every=False)
+    best = best_clusters(ranked, rows, row_id, cluster, CANDIDATES, keep=(name,))[1].withColumn("name", F.col(name))
     return best.withColumn("dist", edit_score(words, F.col("name"))).where(F.col("dist") <= edit_limit(words)).orderBy("dist", "min_rank", "cluster_id").offset(offset).limit(limit).select("cluster_id", "name", "dist", "min_rank")
 
 
@@ -107,8 +134,8 @@ def search_names(index: tuple[DataFrame, DataFrame], rows: DataFrame, query: str
     Words of the query are what stands between spaces and punctuation.
     """
     words = [w for w in re.split(r"[^\w]+|_", unmarked(query).lower()) if len(w) >= 2]
-    near = group_hits(rank_rows(*index, [w[:3] if len(w) >= 4 else w for w in words], every=False), rows, row_id, cluster, [name, canonical])
-    best = near.orderBy("min_rank", "cluster_id").limit(CANDIDATES).withColumn("name", F.coalesce(F.nullif(F.col("mentions")[0][canonical], F.lit("")), F.col("mentions")[0][name]))
+    ranked = rank_rows(*index, [w[:3] if len(w) >= 4 else w for w in words], every=False)
+    best = best_clusters(ranked, rows, row_id, cluster, CANDIDATES, keep=(name, canonical))[1].withColumn("name", F.coalesce(F.nullif(canonical, F.lit("")), F.col(name)))
     left = best.withColumn("dist", edit_score(words, F.col("name"))).where(F.col("dist") <= edit_limit(words))
     total = F.count("*").over(Window.partitionBy(F.lit(0)))  # of at most CANDIDATES rows
     return left.withColumn("total", total).orderBy("dist", "min_rank", "cluster_id").offset(offset).limit(limit).select("cluster_id", "name", "dist", "min_rank", "total")

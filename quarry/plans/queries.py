@@ -313,9 +313,9 @@ def anti_pending(spark, sf_dir):
     return jobs.pending(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey")
 
 
-@query("SELECT n_nationkey, n_name, count(s_suppkey) AS address_count, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY ALL")
+@query("SELECT n_nationkey, n_name, count(s_suppkey) AS address_count, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def left_group_count(spark, sf_dir):
-    some = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("l"))
+    some = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("l"))
     out = table(spark, sf_dir, "nation").join(some, "n_nationkey", "left")
     return out.select("n_nationkey", "n_name", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("address_count"), F.coalesce(F.array_join(F.transform("l", lambda x: x.cast("string")), ","), F.lit("")).alias("suppliers")).withColumn("address_count", F.greatest("address_count", F.lit(0)))
 
@@ -577,19 +577,19 @@ def interpolate(spark, sf_dir):
 # ---------------------------------------------------------------- sets and output
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query("SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey * 7 FROM supplier")
 def union_sets(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_nationkey")).distinct()
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 7")).distinct()
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey * 7 FROM supplier")
 def intersect_sets(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_nationkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 7"))
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey * 7 FROM supplier")
 def except_sets(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_nationkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 7"))
 
 
 @query("""SELECT n_nationkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || n_nationkey || ',' || n_regionkey || ']},"properties":{"n_nationkey":' || n_nationkey || ',"r_name":' || CASE WHEN n_regionkey = 0 THEN 'null' ELSE '"' || r_name || '"' END || '}}' AS feature FROM nation JOIN region ON r_regionkey = n_regionkey""")

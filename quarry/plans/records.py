@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import streets
 from quarry.functions import text as T
-from quarry.operators import cluster, flatten, jobs, pages, placement, review, search
+from quarry.operators import cluster, flatten, jobs, linkage, pages, placement, review, search
 from quarry.plans.queries import query, table
 
 # ---------------------------------------------------------------- streets and displays
@@ -59,11 +59,12 @@ def rename_streets(spark, sf_dir):
     return streets.rename_streets(table(spark, sf_dir, "part"), "p_name", held, [("ing", "yng")], "renamed").select("p_partkey", "renamed")
 
 
-@query("""WITH k AS (SELECT DISTINCT regexp_replace(p_name, '[^a-z]', '', 'g') AS n FROM part) SELECT a.n AS a, b.n AS b, a.n = b.n OR (length(a.n) >= 6 AND length(b.n) >= 6 AND levenshtein(a.n, b.n) <= 1) AS same FROM k a, k b WHERE left(a.n, 1) = left(b.n, 1)""")
+@query("""WITH k AS (SELECT DISTINCT regexp_replace(p_name, '[^a-z]', '', 'g') || CASE WHEN p_size % 9 = 0 THEN 's' WHEN p_size % 9 = 1 THEN 'z' ELSE '' END AS n FROM part) SELECT a.n AS a, b.n AS b FROM k a JOIN k b ON a.n = b.n OR (length(a.n) >= 6 AND length(b.n) >= 6 AND levenshtein(a.n, b.n) <= 1)""")
 def same_names(spark, sf_dir):
-    k = table(spark, sf_dir, "part").select(streets.street_letters(F.col("p_name")).alias("n")).distinct()
-    both = k.select(F.col("n").alias("a")).join(k.select(F.col("n").alias("b")), F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
-    return both.withColumn("same", streets.same_name(F.col("a"), F.col("b")))
+    """Pairs of names that are the same, found by what is left without one letter."""
+    name = F.concat(streets.street_letters(F.col("p_name")), F.expr("CASE p_size % 9 WHEN 0 THEN 's' WHEN 1 THEN 'z' ELSE '' END"))
+    k = table(spark, sf_dir, "part").select(name.alias("a")).distinct()
+    return linkage.similar_names(k, k.withColumnRenamed("a", "b"), "a", "b")
 
 
 @query("""SELECT c_custkey, CAST(c_custkey % 50 AS INTEGER) AS ward_number, 'W ' || (c_custkey % 50) || 'a' AS plain, lower(regexp_extract(c_mktsegment, '[A-Za-z]')) AS initial, lower(c_mktsegment) AS surname FROM customer""")
@@ -202,10 +203,10 @@ def patch_entries(spark, sf_dir):
     return out.select("c_custkey", "address_street", "edited_at", "lat", "searchable_text")
 
 
-@query("SELECT s_suppkey, CAST(s_nationkey * 11 AS VARCHAR) AS number, 'address_number=' || s_nationkey * 11 || ',verified=true,needs_review=false' AS payload FROM supplier WHERE s_nationkey >= 10 AND s_acctbal >= 0 AND s_suppkey % 2 = 1")
+@query("SELECT s_suppkey, CAST(s_nationkey * 11 AS VARCHAR) AS number, 'address_number=' || s_nationkey * 11 || ',verified=true,needs_review=false' AS payload FROM supplier WHERE s_nationkey >= 10 AND s_acctbal >= 0 AND s_suppkey % 2 = 1 AND s_suppkey % 5 > 0 AND s_suppkey % 7 > 0")
 def number_corrections(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").withColumn("number", F.expr("CAST(s_nationkey * 11 AS STRING)"))
-    queue = review.suspicious_numbers(rows, "number", F.col("s_acctbal") < 0, F.expr("s_suppkey % 2 = 0"))
+    rows = table(spark, sf_dir, "supplier").withColumns({"number": F.expr("CAST(s_nationkey * 11 AS STRING)"), "street": F.expr("if(s_suppkey % 5 > 0, s_name, '')"), "box": F.expr("if(s_suppkey % 7 > 0, array(1, 2, 3, 4), NULL)")})
+    queue = review.suspicious_numbers(rows, "number", F.col("s_acctbal") < 0, F.expr("s_suppkey % 2 = 0"), present=["box", "street"])
     p = review.number_correction(F.col("s_suppkey"), F.col("number"))
     told = F.concat_ws(",", F.concat(F.lit("address_number="), p["fields"]["address_number"]), F.concat(F.lit("verified="), p["flags"]["verified"].cast("string")), F.concat(F.lit("needs_review="), p["flags"]["needs_review"].cast("string")))
     return queue.select("s_suppkey", "number", told.alias("payload"))
@@ -296,11 +297,11 @@ def premises(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT DISTINCT p_brand AS owner, p_name AS street, p_size AS place_id FROM part), f AS (SELECT owner FROM h GROUP BY owner HAVING count(DISTINCT place_id) <= 50), o AS (SELECT owner, street, min(place_id) AS place_id FROM h WHERE owner IN (SELECT owner FROM f) GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT s_suppkey, CAST(place_id AS INTEGER) AS place_id FROM (SELECT s_suppkey, 'Brand#' || (s_suppkey % 50) AS owner FROM supplier) s JOIN o ON o.owner = s.owner""")
+SELECT s_suppkey, CAST(place_id AS INTEGER) AS place_id FROM (SELECT s_suppkey, 'Brand#' || (s_suppkey % 50) AS owner, p_name AS street FROM supplier JOIN part ON p_partkey = s_suppkey) s JOIN o ON o.owner = s.owner AND o.street = s.street""")
 def unique_owners(spark, sf_dir):
     owners = table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_name").alias("street"), F.col("p_size").alias("place"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), F.expr("s_suppkey % 50").cast("string")).alias("owner"))
-    rows = rows.join(owners.select("street").distinct(), F.lit(True))
+    streets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), F.col("p_name").alias("street"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), F.expr("s_suppkey % 50").cast("string")).alias("owner")).join(streets, "s_suppkey")
     return placement.unique_owner(rows, owners, ["owner"], "place", "s_suppkey", 50)
 
 
@@ -337,10 +338,10 @@ def vote_inside_range(spark, sf_dir):
     return placement.inside_range(e.select("user_id", "event_id"), won, ["user_id"], "event_id").groupBy("user_id", "ballot").agg(F.count("*").alias("inside"))
 
 
-@query("""WITH h AS (SELECT p_brand AS b, p_name AS street, CASE WHEN p_size % 3 > 0 THEN CAST(p_size % 4 AS VARCHAR) END AS number FROM part WHERE p_size <= 30 AND p_size + 15 > 20 AND p_partkey % 2 = 0), g AS (SELECT b, list_sort(list_distinct(list(street))) AS s, list_sort(list_distinct(list(number) FILTER (WHERE number IS NOT NULL))) AS n FROM h GROUP BY b)
+@query("""WITH h AS (SELECT p_brand AS b, p_name AS street, CASE WHEN p_size % 3 > 0 THEN CAST(p_size % 4 AS VARCHAR) END AS number FROM part WHERE p_size <= 30 AND p_size + 15 > 20), g AS (SELECT b, list_sort(list_distinct(list(street))) AS s, list_sort(list_distinct(list(number) FILTER (WHERE number IS NOT NULL))) AS n FROM h GROUP BY b)
 SELECT b AS p_brand, CASE WHEN coalesce(len(n), 0) = 1 THEN 'house' WHEN len(n) > 1 THEN 'ambiguous' ELSE 'street_only' END AS status, array_to_string(s, ' / ') AS streets, coalesce(array_to_string(n, ' / '), '') AS numbers FROM g""")
 def placed_status(spark, sf_dir):
-    hits = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").selectExpr("p_brand", "p_name AS street", "if(p_size % 3 > 0, CAST(p_size % 4 AS STRING), NULL) AS number", "if(p_size <= 30, p_size - 10, 99) AS `from`", "p_size + 15 AS until")
+    hits = table(spark, sf_dir, "part").selectExpr("p_brand", "p_name AS street", "if(p_size % 3 > 0, CAST(p_size % 4 AS STRING), NULL) AS number", "if(p_size <= 30, p_size - 10, 99) AS `from`", "p_size + 15 AS until")
     return placement.placed_status(hits, "p_brand", "street", "number", F.lit(20))
 
 
