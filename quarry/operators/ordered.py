@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_anchor(rows: DataFrame, by: str, order: Sequence[str], anchor: Column, reach: int = 60, ahead: int = 5) -> DataFrame:
-    """Adds inferred: the nearest anchor before if the one after agrees (without case) or is missing; one after alone only within ``ahead`` rows."""
+def nearest_anchor(rows: DataFrame, by: str, order: Sequence[str], anchor: Column, reach: int = 60, ahead: int = 5, own: Column | None = None) -> DataFrame:
+    """Adds inferred: the nearest anchor before if the one after agrees (without case) or is missing; one after alone only within ``ahead`` rows.
+
+    What is the row's ``own`` name, but for case and space, is never inferred.
+    """
     w = Window.partitionBy(by).orderBy(*order)
     told = rows.withColumns({"_a": anchor, "_i": F.row_number().over(w)})
     back, forth = w.rowsBetween(-reach, -1), w.rowsBetween(1, reach)
@@ -22,6 +25,9 @@ def nearest_anchor(rows: DataFrame, by: str, order: Sequence[str], anchor: Colum
     )
     agreed = F.col("_b").isNotNull() & F.col("_f").isNotNull() & (F.lower("_b") == F.lower("_f"))
     inferred = F.when(agreed | (F.col("_b").isNotNull() & F.col("_f").isNull()), F.col("_b")).when(F.col("_b").isNull() & (F.col("_d") <= ahead), F.col("_f"))
+    if own is not None:
+        plain = lambda c: F.lower(F.btrim(c))
+        inferred = F.when(~F.coalesce(plain(inferred) == plain(own), F.lit(False)), inferred)
     return told.withColumn("inferred", inferred).drop("_a", "_i", "_b", "_f", "_d")
 
 

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import searchable_text
+from quarry.functions.text import build_address, searchable_text
 from quarry.operators.cluster import canonical_values
 from quarry.operators.corrections import moment
+from quarry.operators.ordered import nearest_anchor
 
 
 def overlay(rows: DataFrame, held: DataFrame, key: str, stored: Sequence[str], own_first: Sequence[str], flags: Sequence[str]) -> DataFrame:
@@ -124,6 +125,25 @@ def is_own_name(name: Column, street: Column, blocked: Sequence[str]) -> Column:
     return F.coalesce((n == s) & (n != "") & ~s.isin(*[b.lower() for b in blocked]), F.lit(False))
 
 
+def mend_own_names(rows: DataFrame, page: str, order: Sequence[str], name: str, street: str, expanded: str, number: str, full: str, search: Sequence[str], blocked: Sequence[str] = (), least: int = 5) -> DataFrame:
+    """Rows whose street repeats their name get the street around them on the page, or none; adds mended: fixed, cleared or null.
+
+    A street counts as known where ``least`` rows have it that don't repeat their name; known streets that aren't blocked are the anchors
+    (``ordered.nearest_anchor``), and a street that is the row's own name is never taken. Street, expanded street,
+    full address and searchable_text of the mended rows follow.
+    """
+    own = is_own_name(F.col(name), F.col(street), blocked)
+    known = rows.where(~own & (F.coalesce(street, F.lit("")) != "")).groupBy(F.col(street).alias("_known")).agg(F.count("*").alias("_times")).where(F.col("_times") >= least).select("_known")
+    told = rows.withColumn("_own", own).join(known, F.col(street) == F.col("_known"), "left")
+    free = ~F.lower(F.btrim(street)).isin(*[b.lower() for b in blocked]) if blocked else F.lit(True)
+    anchored = nearest_anchor(told, page, order, F.when(~F.col("_own") & F.col("_known").isNotNull() & free, F.col(street)), own=F.col(name))
+    new = {street: F.col("inferred"), expanded: F.col("inferred"), full: F.when(F.col("inferred").isNotNull(), build_address(F.col("inferred"), F.col(number)))}
+    put = {c: F.when(F.col("_own"), v).otherwise(F.col(c)) for c, v in new.items()}
+    put["searchable_text"] = F.when(F.col("_own"), searchable_text(*[new.get(c, F.col(c)) for c in search])).otherwise(F.col("searchable_text"))
+    mended = F.when(F.col("_own"), F.when(F.col("inferred").isNotNull(), "fixed").otherwise("cleared"))
+    return anchored.select(*[put[c].alias(c) if c in put else F.col(c) for c in rows.columns], mended.alias("mended"))
+
+
 def rejected_streets(rows: DataFrame, verdict: str, stale: str = "stale") -> DataFrame:
     """Reviewed rows whose verdict rejects the street; a verdict that begins with ``stale`` never does."""
     v = F.lower(F.btrim(F.coalesce(F.col(verdict), F.lit(""))))

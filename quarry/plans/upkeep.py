@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import cluster, upkeep
+from quarry.operators import cluster, review, upkeep
 from quarry.plans.queries import query, table
 
 # ---------------------------------------------------------------- clusters and links after edits
@@ -172,3 +172,24 @@ def level_trees(spark, sf_dir):
     blocks = trees.from_levels(rows.unionByName(heads), images).select("page", F.explode("blocks").alias("b")).select("page", F.col("b.id").alias("block"), F.explode("b.lines").alias("l"))
     words = blocks.select("page", "block", F.col("l.id").alias("line"), F.explode("l.words").alias("w"))
     return words.select("page", "block", "line", F.col("w.id").alias("word"), "w.text", F.col("w.bbox")[0].alias("x_from"))
+
+
+# ---------------------------------------------------------------- streets that repeat names
+
+NAMED = "t AS (SELECT event_id, user_id, 'S' || CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE event_id // 40 % 5 END AS street, CASE WHEN event_id % 5 = 0 THEN ' s' || CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE event_id // 40 % 5 END ELSE 'N' || event_id END AS name, event_id % 40 AS number FROM events)"
+
+
+@query(f"""WITH {NAMED}, o AS (SELECT *, lower(trim(name)) = lower(trim(street)) AND street <> 'S3' AS own FROM t), k AS (SELECT street FROM o WHERE NOT own GROUP BY street HAVING count(*) >= 30),
+a AS (SELECT *, CASE WHEN NOT own AND street <> 'S3' AND street IN (SELECT street FROM k) THEN street END AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM o),
+n AS (SELECT *, last_value(a IGNORE NULLS) OVER b AS p, first_value(a IGNORE NULLS) OVER f AS q, first_value(CASE WHEN a IS NOT NULL THEN i END IGNORE NULLS) OVER f - i AS d FROM a
+WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING)),
+m AS (SELECT *, CASE WHEN p IS NOT NULL AND (q IS NULL OR lower(p) = lower(q)) THEN p WHEN p IS NULL AND d <= 5 THEN q END AS guess FROM n), g AS (SELECT *, CASE WHEN lower(trim(guess)) IS DISTINCT FROM lower(trim(name)) THEN guess END AS inferred FROM m)
+SELECT event_id, CASE WHEN own THEN inferred ELSE street END AS street, CASE WHEN own THEN inferred || ' ' || number ELSE street || ' ' || number END AS address_full, CASE WHEN own THEN trim(name) || coalesce(' ' || inferred || ' ' || number, '') ELSE 'old' END AS searchable_text, CASE WHEN own THEN CASE WHEN inferred IS NULL THEN 'cleared' ELSE 'fixed' END END AS mended FROM g""")
+def mended_own_names(spark, sf_dir):
+    """Streets that repeat names get the street around them."""
+    street = "concat('S', if(event_id % 3 = 0, event_id % 40, event_id div 40 % 5))"
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", f"{street} AS street", f"if(event_id % 5 = 0, lower(concat(' ', {street})), concat('N', event_id)) AS name", "CAST(event_id % 40 AS STRING) AS number", f"concat({street}, ' ', event_id % 40) AS address_full", "'old' AS searchable_text", "CAST(NULL AS STRING) AS expanded"
+    )
+    out = review.mend_own_names(rows, "user_id", ["event_id"], "name", "street", "expanded", "number", "address_full", ["name", "address_full"], ["S3"], 30)
+    return out.select("event_id", "street", "address_full", "searchable_text", "mended")
