@@ -1,12 +1,14 @@
 """Chat formatting by schema fingerprints.
 
-Every nested field path of a record or a table is gathered. The paths that belong
-to a layout are hashed; where that fingerprint is the layout's own, the record has
-all its paths and the layout fits. Of several layouts that fit, the one with the
-most paths, then the first listed, is taken. It names a declarative mapping that
-turns the record (prompt and completion, instruction with input, message lists,
-rows by turn) into canonical turns ``array<struct<role, text>>``. A template marks
-them.
+All nested field paths of a record or a table are gathered and hashed. The
+fingerprint is looked up among those of the layouts; one that isn't known yet
+(a record with further fields, or with fields left out) is settled once, by the layouts all
+of whose paths it has, and looked up from then on, so a corpus costs as many
+comparisons as it has schemas. Of several layouts that fit, the one that most paths
+speak for, then the first listed, is taken. It names a declarative mapping that turns
+the record (prompt and completion, instruction with input, system text and history,
+message lists, content in parts, rows by turn) into canonical turns
+``array<struct<role, text>>``. A template marks them.
 
 The template writes ``<s>role\\n`` + text + ``</s>`` for each turn, with the text
 of every role but the assistant's between ``[INST] `` and `` [/INST]``. Control
@@ -44,11 +46,12 @@ LEARNT = "assistant"
 
 @dataclass(frozen=True)
 class Mapping:
-    """One layout: its fields as DDL and the SQL that makes turns of a record ``r``."""
+    """One layout: its fields as DDL, the SQL that makes turns of a record ``r``, and the DDL to read it by where that isn't ``fields``."""
 
     name: str
     fields: str
     turns: str
+    read: str | None = None
 
     @property
     def paths(self) -> tuple[str, ...]:
@@ -59,6 +62,17 @@ def _pair(asked: str, said: str) -> str:
     return f"array(struct('user' as role, {asked} as text), struct('assistant' as role, {said} as text))"
 
 
+def _led(turns: str) -> str:
+    """Turns after the record's system text, if it has one."""
+    return f"if(coalesce(r.system, '') = '', {turns}, concat(array(struct('system' as role, r.system as text)), {turns}))"
+
+
+_ASKED = "if(coalesce(r.input, '') = '', r.instruction, concat(coalesce(r.instruction, ''), '\\n\\n', r.input))"
+_SENT = "transform(r.conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))"
+_LISTED = "array<struct<role: string, content: string>>"
+#: Text of content in parts; content that is no list of parts stays as it is.
+_PARTS = "coalesce(array_join(transform(filter(from_json(m.content, 'array<struct<type: string, text: string>>'), p -> p.type = 'text'), p -> coalesce(p.text, '')), ''), m.content)"
+
 #: Layouts of single records.
 MAPPINGS = (
     Mapping("prompt_response", "prompt string, response string", _pair("r.prompt", "r.response")),
@@ -68,16 +82,28 @@ MAPPINGS = (
     Mapping(
         "instruction_input_output",
         "instruction string, input string, output string",
-        _pair("if(coalesce(r.input, '') = '', r.instruction, concat(coalesce(r.instruction, ''), '\\n\\n', r.input))", "r.output"),
+        _pair(_ASKED, "r.output"),
     ),
     Mapping("messages", "messages array<struct<role: string, content: string>>", "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
     Mapping(
         "from_value",
         "conversations array<struct<`from`: string, value: string>>",
-        "transform(r.conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))",
+        _SENT,
     ),
     Mapping("role_text", "turns array<struct<role: string, text: string>>", "transform(r.turns, m -> struct(m.role as role, m.text as text))"),
+    Mapping("system_prompt_response", "system string, prompt string, response string", _led(_pair("r.prompt", "r.response"))),
+    Mapping("system_instruction_input_output", "system string, instruction string, input string, output string", _led(_pair(_ASKED, "r.output"))),
+    Mapping(
+        "instruction_history",
+        "instruction string, input string, output string, history array<array<string>>",
+        f"concat(coalesce(flatten(transform(r.history, h -> {_pair('get(h, 0)', 'get(h, 1)')})), array()), {_pair(_ASKED, 'r.output')})",
+    ),
+    Mapping("system_from_value", "system string, conversations array<struct<`from`: string, value: string>>", _led(_SENT)),
+    Mapping("content_parts", "messages array<struct<role: string, content: array<struct<type: string, text: string>>>>", f"transform(r.messages, m -> struct(m.role as role, {_PARTS} as text))", f"messages {_LISTED}"),
+    Mapping("data_messages", f"data struct<messages: {_LISTED}>", "transform(r.data.messages, m -> struct(m.role as role, m.content as text))"),
 )
+#: Fingerprints that a task remembers besides those of the layouts.
+REMEMBERED = 10_000
 #: Layouts with a row for each turn; ``turns`` names key, order, role and text.
 ROW_MAPPINGS = (
     Mapping("turn_rows", "conv_id bigint, turn bigint, role string, text string", "conv_id, turn, role, text"),
@@ -112,37 +138,55 @@ def fingerprint(paths) -> str:
 
 
 def fitting(paths, layouts: dict[str, tuple[str, ...]]) -> str | None:
-    """The layout whose fingerprint the paths have, of several the one with the most paths, then the first."""
+    """The layout all of whose paths are there, of several the one that most of them speak for, then the first.
+
+    An empty list stands for all that its items could hold, and speaks once.
+    """
     paths = set(paths)
-    empty = {p for p in paths if p.endswith("[]")}  # empty lists stand for all that their items could hold
-    for name, own in sorted(layouts.items(), key=lambda m: -len(m[1])):
-        if fingerprint(p for p in own if p in paths or any(p.startswith(e) for e in empty)) == fingerprint(own):
-            return name
-    return None
+    empty = tuple(p for p in paths if p.endswith("[]"))
+    fits = [(name, {p if p in paths else next(e for e in empty if p.startswith(e)) for p in own}) for name, own in layouts.items() if all(p in paths or p.startswith(empty) for p in own)]
+    return max(fits, key=lambda f: len(f[1]))[0] if fits else None
+
+
+class Registry:
+    """Layouts by fingerprint; what is met for the first time is fitted once and then known."""
+
+    def __init__(self, layouts: dict[str, tuple[str, ...]]):
+        self.layouts, self.fitted = layouts, 0
+        self.known: dict[str, str | None] = {fingerprint(own): name for name, own in layouts.items()}
+
+    def layout(self, paths) -> str | None:
+        paths = set(paths)
+        key = fingerprint(paths)
+        if key not in self.known:
+            if len(self.known) > REMEMBERED + len(self.layouts):
+                self.known = {fingerprint(own): name for name, own in self.layouts.items()}
+            self.known[key], self.fitted = fitting(paths, self.layouts), self.fitted + 1
+        return self.known[key]
 
 
-def record_layout(record: str | None, layouts: dict[str, tuple[str, ...]]) -> str | None:
+def record_layout(record: str | None, registry: Registry) -> str | None:
     """Name of the layout that fits a JSON record."""
     try:
         value = json.loads(record or "")
     except (ValueError, RecursionError):
         return None
-    return fitting(value_paths(value), layouts) if isinstance(value, dict) else None
+    return registry.layout(value_paths(value)) if isinstance(value, dict) else None
 
 
 def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
     """Add ``layout`` and ``turns``, in place of columns so named, to rows that hold a JSON record each."""
 
-    known = {m.name: m.paths for m in MAPPINGS}
+    registry = Registry({m.name: m.paths for m in MAPPINGS})
 
     @F.pandas_udf("string")
     def layout(records: pd.Series) -> pd.Series:
-        return records.map(lambda r: record_layout(r, known)).astype(object)
+        return records.map(lambda r: record_layout(r, registry)).astype(object)
 
     at, named = f"`{record}`", df.withColumn("layout", layout(F.col(record)))
     turns = F.lit(None).cast(TURNS)
     for m in MAPPINGS:
-        parsed = f"from_json({at}, '{m.fields}')"
+        parsed = f"from_json({at}, '{m.read or m.fields}')"
         made = F.expr(f"element_at(transform(array({parsed}), r -> {m.turns}), 1)").cast(TURNS)
         turns = F.when(F.col("layout") == m.name, made).otherwise(turns)
     return named.withColumn("turns", turns)
@@ -154,7 +198,7 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
     A conversation becomes one row, so its turns meet in one task; no other
     grouping happens.
     """
-    found = fitting(field_paths(df.schema), {m.name: m.paths for m in ROW_MAPPINGS})
+    found = Registry({m.name: m.paths for m in ROW_MAPPINGS}).layout(field_paths(df.schema))
     if found is None:
         raise ValueError(f"no row layout has the columns {sorted(df.columns)}")
     key, order, role, text = next(m.turns for m in ROW_MAPPINGS if m.name == found).split(", ")
@@ -274,8 +318,20 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
     for k, (a, b) in enumerate((("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"))):
         pair = F.when(lot % 5 == k, F.to_json(F.struct(asked.alias(a), answer.alias(b), F.lit("x").alias("note")))).otherwise(pair)
     pair = F.when(lot % 5 == 4, F.to_json(F.struct(asked.alias("instruction"), answer.alias("input"), answer.alias("output")))).otherwise(pair)
-    pairs = turns.where(asked.isNotNull() & answer.isNotNull()).select("conv_id", pair.alias("record"))
-    return turns.select("conv_id", record.alias("record")).unionByName(pairs)
+    parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content")))
+    rich = [
+        F.struct(parts.alias("messages")),
+        F.struct(F.struct(named("role", "content", plain).alias("messages")).alias("data"), F.lit(1).alias("version")),
+        F.struct(F.lit("be kind").alias("system"), named("from", "value", other).alias("conversations")),
+        F.struct(asked.alias("instruction"), F.lit("").alias("input"), answer.alias("output"), F.array(F.array(asked, answer)).alias("history")),
+    ]
+    more = F.lit(None).cast("string")
+    for k, value in enumerate(rich):
+        more = F.when(F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4)) == k, F.to_json(value)).otherwise(more)
+    both = asked.isNotNull() & answer.isNotNull()
+    pairs = turns.where(both).select("conv_id", pair.alias("record"))
+    richer = turns.where(both | (F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4)) < 3)).select("conv_id", more.alias("record"))
+    return turns.select("conv_id", record.alias("record")).unionByName(pairs).unionByName(richer)
 
 
 def digest_layouts(rows: DataFrame) -> DataFrame:
@@ -293,4 +349,7 @@ SELECT conv_id, CASE any_value(lot) % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'from
 UNION ALL SELECT conv_id, CASE lot % 5 WHEN 0 THEN 'prompt_response' WHEN 1 THEN 'prompt_completion' WHEN 2 THEN 'question_answer' WHEN 3 THEN 'instruction_output' ELSE 'instruction_input_output' END, 2,
   sha256('user' || chr(10) || a || CASE WHEN lot % 5 = 4 AND b <> '' THEN chr(10) || chr(10) || b ELSE '' END || chr(10) || 'assistant' || chr(10) || b || chr(10))
 FROM p WHERE a IS NOT NULL AND b IS NOT NULL
+UNION ALL SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'content_parts' WHEN 1 THEN 'data_messages' ELSE 'system_from_value' END, count(*) + CASE WHEN conv_id % 4 = 2 THEN 1 ELSE 0 END,
+  sha256(CASE WHEN conv_id % 4 = 2 THEN 'system' || chr(10) || 'be kind' || chr(10) ELSE '' END || string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) FROM c WHERE conv_id % 4 < 3 GROUP BY conv_id
+UNION ALL SELECT conv_id, 'instruction_history', 4, sha256(repeat('user' || chr(10) || a || chr(10) || 'assistant' || chr(10) || b || chr(10), 2)) FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND conv_id % 4 = 3
 """

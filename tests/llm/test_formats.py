@@ -65,6 +65,14 @@ def test_no_control_string_survives_inside_texts(spark):
         ({"messages": [{"role": "user", "content": "u", "tool": {"name": "n"}}, {"weight": 1}]}, "messages", [("user", "u"), (None, None)]),
         ({"prompt": {"response": 1}, "response": "r"}, None, None),
         ({"prompt": None, "response": "r"}, "prompt_response", [("user", None), ("assistant", "r")]),
+        ({"system": "s", "prompt": "p", "response": "r"}, "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"system": "", "prompt": "p", "response": "r"}, "system_prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"system": "s", "instruction": "i", "input": "n", "output": "o"}, "system_instruction_input_output", [("system", "s"), ("user", "i\n\nn"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "", "output": "o", "history": [["a", "b"], ["c"]]}, "instruction_history", [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", None), ("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "", "output": "o", "history": []}, "instruction_history", [("user", "i"), ("assistant", "o")]),
+        ({"system": "s", "conversations": [{"from": "human", "value": "h"}]}, "system_from_value", [("system", "s"), ("user", "h")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "plain"}]}, "content_parts", [("user", "ab"), ("assistant", "plain")]),
+        ({"data": {"messages": [{"role": "user", "content": "u"}]}, "id": 1}, "data_messages", [("user", "u")]),
     ],
 )
 def test_layouts_by_fingerprint(spark, record, layout, turns):
@@ -92,7 +100,16 @@ def test_long_conversations_read_back(spark):
 
 @pytest.mark.parametrize("record", ["no json", "[1]", "5", "null", "{", "[" * 100_000, None])
 def test_what_is_no_record_has_no_layout(record):
-    assert chat_format.record_layout(record, {"pair": ("prompt", "response")}) is None
+    assert chat_format.record_layout(record, chat_format.Registry({"pair": ("prompt", "response")})) is None
+
+
+def test_a_schema_is_fitted_once():
+    registry = chat_format.Registry({m.name: m.paths for m in chat_format.MAPPINGS})
+    assert chat_format.record_layout('{"prompt": "a", "response": "b"}', registry) == "prompt_response" and registry.fitted == 0
+    for k in range(50):
+        assert chat_format.record_layout(json.dumps({"prompt": "a", "response": k, "meta": {"n": [k]}}), registry) == "prompt_response"
+        assert chat_format.record_layout(json.dumps({"other": k}), registry) is None
+    assert registry.fitted == 2
 
 
 def ids_of(text):
