@@ -8,9 +8,12 @@ other half tests them. A step of the path passes while the exact binomial
 the number of strata, stays within ``max_rejection``; the path is tested in a
 fixed order and stops at the first step that fails, so no further correction is
 due. What is guaranteed, at that level, is the rate among good documents that
-pass the base rule; what the base rule itself rejects isn't counted. Strata
-without enough labelled rows get no cutoffs (none rejected of 59 bounds the rate by
-5 % at a level of 5 %; with four strata 86 are needed), so there only the base rule decides.
+pass the base rule; what the base rule itself rejects isn't counted. Languages
+without enough labelled rows to pass even without a rejection (59 bound the rate by
+5 % at a level of 5 %; with four strata 86 are needed), those without any included, are one
+pooled stratum, tested at the same split level, so what is guaranteed there is the
+rate over all of them together. Which are pooled follows from the numbers of rows alone,
+not from their signals. Where the pooled rows don't suffice either, the base rule decides.
 
 One signal counts words of a lexicon that is fitted on at most ``fit_rows``
 labelled rows of the first half (the first by hashed id), whose features tasks
@@ -212,10 +215,23 @@ def select_cutoffs(rows: DataFrame, marks: DataFrame, path: tuple[tuple[float, f
     return out
 
 
+POOLED = "+"
+
+
+def with_strata(rows: DataFrame, marks: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> DataFrame:
+    """``rows`` with the stratum in ``lang``: the language where it has test rows enough to pass without a rejection, else POOLED."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
+    tests = rows.join(marks, rows["doc_id"] == marks["_id"]).where("_good and not _fit").where(~base_failed())
+    sizes = {r["_k"]: r["n"] for r in tests.groupBy(key.alias("_k")).agg(F.count("*").alias("n")).collect()}  # one row for each labelled stratum
+    enough = math.log(level / (len(sizes) + 1)) / math.log(1 - max_rejection)
+    own = rows.sparkSession.createDataFrame([(k,) for k, n in sizes.items() if n >= enough], "_own string")  # each has dozens of labelled rows
+    return rows.withColumn("_k", key).join(F.broadcast(own), F.col("_k") == F.col("_own"), "left").withColumn("lang", F.coalesce("_own", F.lit(POOLED))).drop("_k", "_own")
+
+
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept, SIGNALS) of every document."""
     spark, marks = docs.sparkSession, settle(judged(labels))
-    rows = settle(measured(docs, fit_lexicon(docs, marks, fit_rows)))
+    rows = with_strata(settle(measured(docs, fit_lexicon(docs, marks, fit_rows))), marks)
     cutoffs = select_cutoffs(rows, marks)
     schema = ", ".join(["_lang string", *[f"_c_{s} double" for s in SIGNALS], "_k long", "_n long", "_bound double"])
     table = spark.createDataFrame(cutoffs, schema)

@@ -253,6 +253,22 @@ def test_cutoffs_equal_brute_force(spark):
         assert (gone, n) == want[lang][1:] and np.allclose(cuts, want[lang][0])
 
 
+def test_languages_without_enough_labels_are_judged_together(spark):
+    rng = random.Random(4)
+    sizes = {"en": 700, "de": 90, "fr": 90, None: 60, "nl": 5}
+    lang_of = [lang for lang, n in sizes.items() for _ in range(n)]
+    names = [*quality_rules.COUNTS, *quality_rules.SIGNALS]
+    rows = [(k, lang, 100, 500, 0, 0, 0, *(rng.random() for _ in quality_rules.SIGNALS)) for k, lang in enumerate(lang_of)] + [(5000, "unlabelled", 100, 500, 0, 0, 0, *[0.5] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{n} {'long' if n in quality_rules.COUNTS else 'double'}" for n in names))
+    marks = spark.createDataFrame([(k, True, k % 2 == 0) for k in range(len(lang_of))], "_id long, _good boolean, _fit boolean")
+    out = quality_rules.with_strata(df, marks)
+    assert {(r.lang, r.n) for r in out.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {("=en", 700), (quality_rules.POOLED, 246)}
+    found = {c[0]: c for c in quality_rules.select_cutoffs(out, marks)}
+    assert set(found) == {"=en", quality_rules.POOLED}
+    assert found[quality_rules.POOLED][-2] == sum(k % 2 for k, lang in enumerate(lang_of) if lang != "en")
+    assert {r.lang for r in quality_rules.with_strata(df, marks.limit(0)).select("lang").distinct().collect()} == {quality_rules.POOLED}
+
+
 def test_the_promised_rate_holds_over_many_draws():
     """Of cutoffs that the bound passes in fixed order, at most the level may truly reject more than promised."""
     rng, broken, draws = np.random.default_rng(5), 0, 3000
