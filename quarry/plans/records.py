@@ -577,31 +577,56 @@ SELECT stable_id, street AS address_street, CAST(number AS VARCHAR) AS address_n
 o AS flag_verified, CASE WHEN doc_id % 8 = 0 THEN '1,2,3,4' END AS box, pand AS pand_id, 'sha1:' || sha1(name || '|' || coalesce(lower(full_), '')) AS fingerprint, CASE WHEN o THEN name || ' ' || source || ' 99' ELSE name END AS searchable_text,
 CASE WHEN pand IS NULL THEN stable_id ELSE min(stable_id) OVER (PARTITION BY name, pand) END AS person_id FROM g""")
 def store_build(spark, sf_dir):
+    box = F.array_join(F.transform("entry_bbox", lambda x: x.cast("string")), ",").alias("box")
+    return _store(spark, sf_dir)["entries"].select("stable_id", "address_street", "address_number", "address_full", "status", "lat", "geocode_type", "flag_verified", box, "pand_id", "fingerprint", "searchable_text", "person_id")
+
+
+@query("""SELECT 'building' AS kind, 'p' || (doc_id % 3) AS name, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 2
+UNION ALL SELECT 'reference', 'see ' || (doc_id % 4), CAST(doc_id % 9 AS BIGINT) FROM documents WHERE doc_id % 6 = 0""")
+def store_parts(spark, sf_dir):
+    """The store's buildings and cross references."""
+    out = _store(spark, sf_dir)
+    held = out["buildings"].select(F.lit("building").alias("kind"), F.col("pand_id").alias("name"), F.col("entry_count").alias("n"))
+    return held.unionByName(out["cross_references"].select(F.lit("reference").alias("kind"), F.col("text").alias("name"), F.col("page_number").cast("long").alias("n")))
+
+
+def _store(spark, sf_dir):
     from quarry.operators import store
     from quarry.sources.schemas import OVERRIDE, PAGE
 
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "doc_id", "source")
-    entry = F.to_json(F.array(F.struct(F.expr("concat('n', doc_id % 50)").alias("name"), F.col("source").alias("address_street"), F.expr("CAST(doc_id % 7 AS STRING)").alias("address_number"))))
+    entry = F.to_json(F.array(F.struct(F.expr("concat('n', doc_id % 50)").alias("name"), F.col("source").alias("address_street"), F.expr("CAST(doc_id % 7 AS STRING)").alias("address_number"), F.expr("if(doc_id % 6 = 0, array(named_struct('text', concat('see ', doc_id % 4), 'page', CAST(doc_id % 9 AS INT))), array())").alias("cross_references"))))
     book = d.select("stem", F.from_json(F.concat(F.lit('{"section":"name_register","entries":'), entry, F.lit("}")), PAGE).alias("p")).select("stem", "p.*")
     edit = F.expr("""concat('{"fields":{"address_number":"99"},"flags":{"verified":true}', if(doc_id % 8 = 0, ',"bbox":{"value":[1,2,3,4]}', ''), '}')""")
     overrides = d.where("doc_id % 4 = 0").select(F.concat("stem", F.lit(":0")).alias("stable_id"), F.from_json(edit, OVERRIDE).alias("o")).select("stable_id", "o.*")
     geocodes = spark.createDataFrame([(f"{s} {k}", status, float(k), float(k), 11.0, kind) for k in range(10) for s, status, kind in (("source one", "ok", "adres"), ("src2", "no_match", None))], "address string, status string, lat double, lng double, score double, type string")
     matches = d.where("doc_id % 5 = 0").selectExpr("concat(stem, ':0') AS stable_id", "concat('p', doc_id % 3) AS pand_id", "doc_id % 10 = 0 AS approx")
-    out = store.build_store(book, overrides, geocodes, matches, {"src1": "Source One"}, {}, [r"n z"])["entries"]
-    box = F.array_join(F.transform("entry_bbox", lambda x: x.cast("string")), ",").alias("box")
-    return out.select("stable_id", "address_street", "address_number", "address_full", "status", "lat", "geocode_type", "flag_verified", box, "pand_id", "fingerprint", "searchable_text", "person_id")
+    return store.build_store(book, overrides, geocodes, matches, {"src1": "Source One"}, {}, [r"n z"])
 
 
 @query("""WITH i AS (SELECT p_name, p_size, min(p_partkey) AS place FROM part GROUP BY 1, 2), e AS (SELECT p_partkey AS stable_id, place, p_name || ' ' || p_size || 'b' AS address, p_retailprice AS lat FROM part JOIN i USING (p_name, p_size) WHERE p_retailprice > 950)
 SELECT place AS pand_id, lower(address) AS address, min_by(lat, stable_id) AS lat, string_agg(CAST(stable_id AS VARCHAR), ',' ORDER BY stable_id) AS entries FROM e GROUP BY 1, 2""")
 def link_book(spark, sf_dir):
+    out = _linked_book(spark, sf_dir)["groups"]
+    return out.select("pand_id", "address", "lat", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+
+
+@query("""WITH i AS (SELECT p_name, p_size, min(p_partkey) AS place FROM part GROUP BY 1, 2), e AS (SELECT p_partkey, place FROM part JOIN i USING (p_name, p_size) WHERE p_retailprice > 950)
+SELECT 'match' AS kind, p_partkey AS a, place AS b FROM e UNION ALL SELECT 'summary', count(*), count(*) FROM e""")
+def link_book_parts(spark, sf_dir):
+    """The book's matches and summary."""
+    out = _linked_book(spark, sf_dir)
+    met = out["matches"].select(F.lit("match").alias("kind"), F.col("stable_id").alias("a"), F.col("pand_id").alias("b"))
+    return met.unionByName(out["summary"].select(F.lit("summary").alias("kind"), F.col("total").alias("a"), F.col("matched").alias("b")))
+
+
+def _linked_book(spark, sf_dir):
     from quarry.operators import store
 
     part = table(spark, sf_dir, "part")
     entries = part.selectExpr("p_partkey AS stable_id", "concat(p_name, ' ', p_size, 'B') AS address", "if(p_retailprice > 950, p_retailprice, NULL) AS lat", "p_retailprice AS lng")
     index = part.selectExpr("p_name AS street", "p_size AS number", "'' AS letter", "p_partkey AS place_id")
-    out = store.link_book(entries, index, [("^large ", "l ")], [("ing", "yng")])["groups"]
-    return out.select("pand_id", "address", "lat", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+    return store.link_book(entries, index, [("^large ", "l ")], [("ing", "yng")])
 
 
 @query("""WITH e AS (SELECT vec_id, label * 10 + vec_id % 7 AS who, CASE vec_id % 2 WHEN 0 THEN 'aaa way' ELSE 'bbb way' END AS street, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings),
