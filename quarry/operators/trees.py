@@ -32,7 +32,7 @@ def repaired_words(line: Column) -> Column:
     """The line's words, laid out anew along the line where half of them or more share a box to the nearest ten.
 
     Each word then takes its share of the line's width by letters, one letter's space between two words, and all have the
-    height of the words together. Halves round to the even number.
+    height of the words together. Halves round to the even number. A line without a box keeps its words as they are.
     """
     words = line["words"]
     tens = F.transform(words, lambda w: F.transform(w["bbox"], lambda v: (F.bround(v / 10.0) * 10).cast("int")))
@@ -51,7 +51,7 @@ def repaired_words(line: Column) -> Column:
 
         return _let(sides, moved)
 
-    broken = (F.size(words) >= 2) & (_let(tens, shared) * 2 >= F.size(words))
+    broken = line["bbox"].isNotNull() & (F.size(words) >= 2) & (_let(tens, shared) * 2 >= F.size(words))
     return F.when(broken, _let(chars, laid)).otherwise(words)
 
 
