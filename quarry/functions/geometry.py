@@ -2,14 +2,20 @@
 
 A polygon is an array of rings, a ring an array of points (x, y), closed or not; rings may
 be outlines or holes, as insides are told by parity. ``edges`` is computed once a polygon
-and kept as a column; everything else takes edges. Null polygons give nulls, polygons
+and kept as a column; everything else takes edges. Only ``metres``, which pairs of points
+and polygons go through by the million, runs in numpy: higher-order functions are
+interpreted and took 86 microseconds a pair. Null polygons give nulls, polygons
 without a point have no edges, contain nothing and are at no distance (null).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
 POINT = "struct<x:double,y:double>"
@@ -46,10 +52,15 @@ def contains(e: Column, x: Column, y: Column) -> Column:
 
 
 def from_edge(s: Column, x: Column, y: Column) -> Column:
+    """Distance to an edge: of its nearer end, or of the line where the point lies beside it.
+
+    No foot of a perpendicular is rounded: where coordinates are short fractions, distances that are equal come out equal.
+    """
     dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    along = F.coalesce(((x - s["ax"]) * dx + (y - s["ay"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(x - s["ax"] - t * dx, y - s["ay"] - t * dy)
+    dot, long = (x - s["ax"]) * dx + (y - s["ay"]) * dy, dx * dx + dy * dy
+    end = lambda a, b: F.sqrt((x - s[a]) * (x - s[a]) + (y - s[b]) * (y - s[b]))
+    beside = F.when(dx == 0, F.abs(x - s["ax"])).when(dy == 0, F.abs(y - s["ay"])).otherwise(F.abs(dx * (y - s["ay"]) - dy * (x - s["ax"])) / F.sqrt(long))
+    return F.when(dot <= 0, end("ax", "ay")).when(dot >= long, end("bx", "by")).when(dot.isNotNull(), beside)
 
 
 def from_boundary(e: Column, x: Column, y: Column) -> Column:
@@ -61,6 +72,43 @@ def from_point(e: Column, x: Column, y: Column) -> Column:
     return F.when(contains(e, x, y), F.lit(0.0)).otherwise(from_boundary(e, x, y))
 
 
+#: Edges that are measured at once.
+EDGES_AT_ONCE = 200_000
+
+
+@F.arrow_udf(DoubleType())
+def _metres(edges: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    sizes = pc.list_value_length(edges).fill_null(0).to_numpy(zero_copy_only=False)
+    flat, xs, ys = edges.flatten(), *(v.to_numpy(zero_copy_only=False) for v in (x, y))
+    ends, out, row = np.cumsum(sizes), np.full(len(sizes), np.nan), 0
+    while row < len(sizes):
+        first = ends[row] - sizes[row]
+        last = max(row + 1, int(np.searchsorted(ends, first + EDGES_AT_ONCE, "right")))
+        own, some = sizes[row:last], flat.slice(first, ends[last - 1] - first)
+        ax, ay, bx, by = (some.field(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by"))
+        px, py, filled = np.repeat(xs[row:last], own), np.repeat(ys[row:last], own), np.flatnonzero(own)
+        with np.errstate(all="ignore"):
+            ex, ey, dx, dy, ux, uy = px - bx, py - by, bx - ax, by - ay, px - ax, py - ay
+            dot, long = ux * dx + uy * dy, dx * dx + dy * dy
+            beside = np.where(dx == 0, np.abs(ux), np.where(dy == 0, np.abs(uy), np.abs(dx * uy - dy * ux) / np.sqrt(long)))
+            far = np.where(dot <= 0, np.sqrt(ux * ux + uy * uy), np.where(dot >= long, np.sqrt(ex * ex + ey * ey), np.where(np.isnan(dot), np.nan, beside)))
+            crossed = ((ay > py) != (by > py)) & (px < ax + uy * dx / dy)
+        if len(filled):
+            starts = (np.cumsum(own) - own)[filled]
+            odd = np.add.reduceat(crossed.astype("i8"), starts) % 2 == 1
+            out[row + filled] = np.where(odd, 0.0, np.fmin.reduceat(far, starts))
+        row = last
+    return pa.array(out, mask=np.isnan(out))
+
+
+_METRES = _metres.asNondeterministic()
+
+
+def metres(e: Column, x: Column, y: Column) -> Column:
+    """``from_point`` for tables of many pairs, in Arrow batches; measured once, however often the column is used."""
+    return _METRES(e, x, y)
+
+
 def _side(s: Column, x: Column, y: Column) -> Column:
     return F.signum((s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"]))
 

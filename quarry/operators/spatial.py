@@ -16,11 +16,10 @@ def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     return polygons.withColumn("edges", G.edges(F.col(rings))).where(F.size("edges") > 0).withColumn("box", G.box(F.col("edges"))).drop(rings)
 
 
-def _reached(reach: float) -> Column:
-    """A point (x, y) lies within ``reach`` of the polygon: its box tells most, its edges the rest."""
+def _near(reach: float) -> Column:
+    """A point (x, y) lies within ``reach`` of the polygon's box."""
     x, y, b = F.col("x"), F.col("y"), F.col("box")
-    near = x.between(b["x0"] - reach, b["x1"] + reach) & y.between(b["y0"] - reach, b["y1"] + reach)
-    return near & (G.from_point(F.col("edges"), x, y) <= reach)
+    return x.between(b["x0"] - reach, b["x1"] + reach) & y.between(b["y0"] - reach, b["y1"] + reach)
 
 
 def within(points: DataFrame, polygons: DataFrame, point_id: str, place_id: str, reach: float, tree: Quadtree | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def within(points: DataFrame, polygons: DataFrame, point_id: str, place_id: str,
         placed = sized.withColumn("cx", spread("x0", "x1")).withColumn("cy", spread("y0", "y1"))
         probes = asked.withColumn("level", F.explode(levels.cast("array<int>"))).withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
         met = probes.join(placed, ["level", "cx", "cy"])
-    return met.where(_reached(reach)).select(point_id, place_id, G.from_point(F.col("edges"), F.col("x"), F.col("y")).alias("metres"))
+    return met.where(_near(reach)).select(point_id, place_id, G.metres(F.col("edges"), F.col("x"), F.col("y")).alias("metres")).where(F.col("metres") <= reach)
 
 
 def nearest(points: DataFrame, polygons: DataFrame, point_id: str, place_id: str, reach: float, tree: Quadtree | None = None) -> DataFrame:

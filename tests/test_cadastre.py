@@ -220,3 +220,18 @@ def test_readings_of_an_owner_are_one_set(spark):
     rows = [(1, "bos", "j", "bosch", "j"), (1, "bos", "j", None, None), (2, "", "x", "vos", None)]
     df = spark.createDataFrame(rows, "id long, n1 string, v1 string, n2 string, v2 string")
     assert sorted(tuple(r) for r in yards.readings(df, "id", ("n1", "v1"), ("n2", "v2")).collect()) == [(1, "bos", "j"), (1, "bosch", "j"), (2, "vos", "")]
+
+
+def test_equal_distances_are_equal(spark):
+    # a point on an edge whose foot would be rounded, inside another place; sqrt(50) from corners by 5, 5 and by 7, 1
+    square = lambda x, y, w, h: [[{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]]
+    rows = [(1, square(0.125, 0, 7, 3)), (2, square(3, 2.5, 2, 2)), (3, square(105, 5, 2, 2)), (4, square(107, 1, 3, 2)), (5, square(101, -9, 4, 2))]
+    held = spatial.with_edges(spark.createDataFrame(rows, f"place_id long, rings {RINGS}"))
+    points = spark.createDataFrame([(1, 3.5, 3.0), (2, 100.0, 0.0)], "id long, x double, y double")
+    assert {r.id: r.place_id for r in spatial.nearest(points, held, "id", "place_id", 8.0).collect()} == {1: 1, 2: 3}
+    found = {(r.id, r.place_id): r.metres for r in spatial.within(points, held, "id", "place_id", 8.0).collect()}
+    assert found == {(1, 1): 0.0, (1, 2): 0.0, (2, 3): math.sqrt(50), (2, 4): math.sqrt(50), (2, 5): math.sqrt(50)}
+    both = points.crossJoin(held).select("id", "place_id", G.from_point(F.col("edges"), F.col("x"), F.col("y")).alias("d")).collect()
+    assert {(r.id, r.place_id): r.d for r in both if r.d <= 8} == found
+    none = held.select(G.metres(F.slice("edges", 1, 0), F.lit(1.0), F.lit(1.0)).alias("none"), G.metres(F.col("edges"), F.lit(None).cast("double"), F.lit(1.0)).alias("null")).collect()
+    assert all(r.none is None and r.null is None for r in none)
