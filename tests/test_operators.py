@@ -194,3 +194,19 @@ def test_corrections_of_entries(spark):
     a, b = store.apply_corrections(rows, over).orderBy("stable_id").collect()
     assert (a.name, a.address_number, a.address_full, a.flag_verified, a.flag_needs_review, a.entry_bbox, a.searchable_text) == ("C", None, "S", False, True, [1, 2, 3, 4], "C S")
     assert (b.name, b.flag_verified, b.searchable_text) == ("B", True, "old")
+
+
+def test_corrections_ask_for_every_row_of_the_queue(spark):
+    from quarry.plans import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    want = {r.s_suppkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_nationkey >= 10 and s_acctbal >= 0 and s_suppkey % 2 = 1").collect()}
+    assert any(k % 5 == 0 for k in want) and any(k % 7 == 0 for k in want)
+    assert {r.s_suppkey for r in queries.QUERIES["number_corrections"](spark, sf_dir).collect()} == want
+
+
+def test_queue_needs_box_and_street(spark):
+    from quarry.operators import review
+
+    rows = spark.createDataFrame([(1, "123", "a", [1]), (2, "123", "", [1]), (3, "123", "a", []), (4, "123", None, None), (5, "12", "a", [1])], "id long, number string, street string, box array<int>")
+    assert [r.id for r in review.suspicious_numbers(rows, "number", F.lit(False), F.lit(None).cast("boolean"), present=["box", "street"]).collect()] == [1]
