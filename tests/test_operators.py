@@ -210,3 +210,16 @@ def test_queue_needs_box_and_street(spark):
 
     rows = spark.createDataFrame([(1, "123", "a", [1]), (2, "123", "", [1]), (3, "123", "a", []), (4, "123", None, None), (5, "12", "a", [1])], "id long, number string, street string, box array<int>")
     assert [r.id for r in review.suspicious_numbers(rows, "number", F.lit(False), F.lit(None).cast("boolean"), present=["box", "street"]).collect()] == [1]
+
+
+def test_unique_owners_asks_for_every_street(spark):
+    from quarry.plans import queries
+
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_brand", "p_name", "p_size").distinct().collect()
+    supplier = [r.s_suppkey for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").collect()]
+    held = {}
+    for r in part:
+        held.setdefault((r.p_brand, r.p_name), set()).add(r.p_size)
+    want = sorted((s, *sizes) for s in supplier for (brand, _), sizes in held.items() if brand == f"Brand#{s % 50}" and len(sizes) == 1)
+    assert len(want) > len(supplier)
+    assert sorted(tuple(r) for r in queries.QUERIES["unique_owners"](spark, "/root/testdata/sf0.01").collect()) == want
