@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (held or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions, however few bytes they are: for what is small to read and long to work out."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach; nodes without edges are their own.
 

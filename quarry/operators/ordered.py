@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.cluster import spread
+
 
 def nearest_anchor(rows: DataFrame, by: str, order: Sequence[str], anchor: Column, reach: int = 60, ahead: int = 5, own: Column | None = None) -> DataFrame:
     """Adds inferred: the nearest anchor before if the one after agrees (without case) or is missing; one after alone only within ``ahead`` rows.
@@ -81,9 +83,17 @@ def interpolate(rows: DataFrame, by: Sequence[str], at: str, value: str, tie: Se
 
 
 def first_hit(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str, cell: float, last: bool = False) -> DataFrame:
-    """(point_id, box_id): the first (or last) box in order that holds the point; they meet in grid cells of ``cell``."""
+    """(point_id, box_id): the first (or last) box in order that holds the point; they meet in grid cells of ``cell``.
+
+    Of boxes in one place only the first (last) can be hit, and points in one place are asked for once, so neither multiplies the other.
+    """
+    best = F.max if last else F.min
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    held = boxes.select(box_id, "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("cx")).select("*", F.explode(span("y1", "y2")).alias("cy"))
-    asked = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    met = asked.join(held, ["cx", "cy"]).where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
-    return met.groupBy(point_id).agg((F.max if last else F.min)(box_id).alias(box_id))
+    corners, at = ["x1", "y1", "x2", "y2"], [F.floor(F.col(c) / cell) for c in "xy"]
+    places = spread(boxes.groupBy(*corners).agg(best(box_id).alias(box_id)), *corners)
+    held = places.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    spots = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    asked = spread(spots.select("x", "y").distinct(), "x", "y").withColumns({"cx": at[0], "cy": at[1]})
+    inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
+    hit = asked.join(held.hint("merge"), ["cx", "cy"]).where(inside).groupBy("x", "y").agg(best(box_id).alias(box_id))
+    return spots.select(point_id, "x", "y").join(hit, ["x", "y"]).groupBy(point_id).agg(best(box_id).alias(box_id))

@@ -223,3 +223,40 @@ def test_unique_owners_asks_for_every_street(spark):
     want = sorted((s, *sizes) for s in supplier for (brand, _), sizes in held.items() if brand == f"Brand#{s % 50}" and len(sizes) == 1)
     assert len(want) > len(supplier)
     assert sorted(tuple(r) for r in queries.QUERIES["unique_owners"](spark, "/root/testdata/sf0.01").collect()) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_of_boxes_and_points_meet_once(spark):
+    boxes = spark.range(40).selectExpr("id AS box_id", "(id % 2) * 20 AS x1", "0L AS y1", "(id % 2) * 20 + 15 AS x2", "15L AS y2")
+    points = spark.createDataFrame([*((k, 25.0, 5.0) for k in range(30)), (90, None, 1.0), (91, 17.0, 1.0)], "id long, x double, y double")
+    for last, want in ((False, 1), (True, 39)):
+        found = ordered.first_hit(points, boxes, "id", "box_id", 10.0, last)
+        assert {(r.id, r.box_id) for r in found.collect()} == {(k, want) for k in range(30)}
+    meeting = next(part for part in _plan(found).split("Join Inner") if "cx" in part.split("\n")[0])
+    assert meeting.count("Aggregate [x") >= 2  # both sides are made distinct before they meet
+
+
+def test_candidates_meet_one_person_a_link(spark):
+    from quarry.operators import review
+
+    persons = spark.range(60).selectExpr("id + 5 AS person_id", "'n' AS name", "if(id < 50, id % 3, NULL) AS seg")
+    asked = spark.range(4).selectExpr("id AS ask_id", "'n' AS name", "id AS seg")
+    found = review.candidate_persons(asked, persons, [["name", "seg"]])
+    assert {tuple(r) for r in found.collect()} == {(0, 5), (1, 6), (2, 7)}
+    assert "Aggregate" in _plan(found).split("Join Inner")[1]  # persons of one link are one before the join
+
+
+def test_an_address_is_read_once(spark):
+    from quarry.operators import store
+
+    entries = spark.createDataFrame([(k, "Large ring 7B", 1.0, 1.0) for k in range(20)] + [(30, "no number", 1.0, 1.0), (31, "Large ring 7", None, 1.0), (32, "Far road 9", 2.0, 1.0)], "stable_id long, address string, lat double, lng double")
+    index = spark.createDataFrame([("large ring", 7, "", 5)], "street string, number int, letter string, place_id long")
+    out = store.link_book(entries, index, [("^large ", "l ")], [("ing", "yng")])
+    assert {(r.stable_id, r.pand_id, r.address) for r in out["matches"].collect()} == {(k, 5, "large ring 7b") for k in range(20)}
+    assert [(r.total, r.matched) for r in out["summary"].collect()] == [(21, 20)]
+    assert [r.stable_id for r in out["unmatched"].collect()] == [32]
+    # no filter works out addresses or aliases where rows are still all entries
+    assert not [line for line in _plan(out["matches"]).split("\n") if "Filter" in line and "lambda" in line]
