@@ -203,10 +203,13 @@ def refresh_clusters(rows: DataFrame, changed: DataFrame, cluster: str, order: s
 
 
 def candidate_persons(asked: DataFrame, persons: DataFrame, links: Sequence[Sequence[str]]) -> DataFrame:
-    """(ask_id, person_id): the smallest person that agrees in all columns of one of the ``links``; a union of equi-joins instead of a disjunction."""
+    """(ask_id, person_id): the smallest person that agrees in all columns of one of the ``links``; a union of equi-joins instead of a disjunction.
+
+    The smallest person of each link's values is found first, so a row meets one person a link.
+    """
     out = None
     for link in links:
-        some = persons.dropna(subset=list(link)).select("person_id", *link)
+        some = persons.dropna(subset=list(link)).groupBy(*link).agg(F.min("person_id").alias("person_id"))
         met = asked.join(some, list(link)).select("ask_id", "person_id")
         out = met if out is None else out.unionByName(met)
     return out.groupBy("ask_id").agg(F.min("person_id").alias("person_id"))
