@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.streets import same_name, similarity
-from quarry.operators.cluster import shared_folder
+from quarry.operators.cluster import shared_folder, spread
 
 
 def lookup_with_fallback(rows: DataFrame, table: DataFrame, first: str, second: str, key: str, values: Sequence[str]) -> DataFrame:
@@ -31,14 +31,17 @@ def tiered_match(probes: DataFrame, index: DataFrame, probe_id: str, letters: st
     ``probes`` has (probe_id, aliases array, number, letter), ``index`` (street,
     number, letter, place_id). An alias tries the exact letter, then no letter, then
     each of ``letters``, then near numbers without a letter; all tries of an alias
-    come before the next alias. All tries meet the index in one equi-join on
-    (street, number, letter), whose places are made unique first.
+    come before the next alias. Aliases that are no street of the index are left out first; all tries
+    of the others meet the index in one equi-join on (street, number, letter), whose places are made unique first.
     """
     number, letter = F.col("number"), F.coalesce("letter", F.lit(""))
     tries = [F.struct(number.alias("number"), letter.alias("letter"))]
     tries += [F.struct(number.alias("number"), F.lit(x).alias("letter")) for x in ("", *letters)]
     tries += [F.struct((number + d).alias("number"), F.lit("").alias("letter")) for d in near]
-    each = probes.select(probe_id, F.col("number"), letter.alias("letter"), F.posexplode("aliases").alias("alias_rank", "street"))
+    probes = spread(probes, probe_id)  # few bytes each, but many aliases
+    # the outer form, as Spark puts a filter that makes the aliases once more before everything else for the inner one
+    each = probes.select(probe_id, F.col("number"), letter.alias("letter"), F.posexplode_outer("aliases").alias("alias_rank", "street"))
+    each = each.join(index.select("street").distinct(), "street", "left_semi")
     each = each.select(probe_id, "alias_rank", "street", F.posexplode(F.array(*tries)).alias("tier", "t")).select(probe_id, "alias_rank", "tier", "street", F.col("t.number").alias("number"), F.col("t.letter").alias("letter"))
     places = index.groupBy("street", "number", F.coalesce("letter", F.lit("")).alias("letter")).agg(F.min("place_id").alias("place_id"))
     best = each.join(places, ["street", "number", "letter"]).groupBy(probe_id).agg(F.min(F.struct("alias_rank", "tier", "place_id")).alias("b"))

@@ -67,18 +67,22 @@ def build_store(pages: DataFrame, overrides: DataFrame, geocodes: DataFrame, mat
 def link_book(entries: DataFrame, index: DataFrame, rules: Sequence[tuple[str, str]], spellings: Sequence[tuple[str, str]]) -> dict[str, DataFrame]:
     """matches, groups, summary and unmatched examples of a book's entries (stable_id, address, lat, lng) against an index (street, number, letter, place_id).
 
-    Entries without a place on the map or a readable address take no part.
+    Entries without a place on the map or a readable address take no part. An address is read, and its
+    aliases are tried, once, however many entries give it.
     """
-    read = entries.where(F.col("lat").isNotNull() & F.col("address").isNotNull()).withColumn("p", T.parse_address(F.col("address"))).where("p is not null")
-    probes = read.select("stable_id", T.aliases(F.col("p.street"), rules, spellings).alias("aliases"), F.col("p.number").alias("number"), F.col("p.letter").alias("letter"))
-    found = linkage.tiered_match(probes, index, "stable_id")
-    matched = read.join(found, "stable_id").select("stable_id", F.col("place_id").alias("pand_id"), T.normalize_address(F.col("address")).alias("address"), "lat", "lng", "alias_rank", "tier")
-    rate = read.join(found.select("stable_id").withColumn("_hit", F.lit(True)), "stable_id", "left")
+    some = entries.where(F.col("lat").isNotNull() & F.col("address").isNotNull())
+    # exploded, as the filter would read every entry's address before they are made distinct
+    told = cluster.spread(some.select("address").distinct(), "address").withColumn("p", F.explode_outer(F.array(T.parse_address(F.col("address"))))).where("p is not null")
+    asked = cluster.spread(told.select("p").distinct(), "p")
+    probes = asked.select("p", T.aliases(F.col("p.street"), rules, spellings).alias("aliases"), F.col("p.number").alias("number"), F.col("p.letter").alias("letter"))
+    found = told.join(linkage.tiered_match(probes, index, "p"), "p", "left").withColumn("_hit", F.col("place_id").isNotNull())
+    rate = some.join(found, "address")
+    matched = rate.where("_hit").select("stable_id", F.col("place_id").alias("pand_id"), T.normalize_address(F.col("address")).alias("address"), "lat", "lng", "alias_rank", "tier")
     return {
         "matches": matched,
         "groups": placement.place_groups(matched),
-        "summary": quality.match_rate(rate, F.col("_hit").isNotNull()),
-        "unmatched": rate.where("_hit is null").orderBy("stable_id").limit(10).select("stable_id", "address"),
+        "summary": quality.match_rate(rate, F.col("_hit")),
+        "unmatched": rate.where("not _hit").orderBy("stable_id").limit(10).select("stable_id", "address"),
     }
 
 
