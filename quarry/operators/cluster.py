@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (held or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def met_by_sort(*tables: DataFrame) -> list[DataFrame]:
+    """Tables that grow with the input, however few bytes their files are: joins with them are never broadcast through the driver."""
+    return [t.hint("merge") for t in tables]
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys over all shuffle partitions, however few bytes they are: for what is small to read and long to work out."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

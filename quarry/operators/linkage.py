@@ -152,7 +152,7 @@ def similar_names(left: DataFrame, right: DataFrame, name: str, other: str, by:
     keys = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), F.when(F.length(c) >= long, cut(c)).otherwise(F.array().cast("array<string>")))))
     a = left.where(F.col(name) != "").withColumn("_key", keys(F.col(name)))
     b = right.where(F.col(other) != "").withColumn("_key", keys(F.col(other)))
-    met = a.join(b, [*by, "_key"]).where(same_name(F.col(name), F.col(other), long))
+    met = a.join(b.hint("merge"), [*by, "_key"]).where(same_name(F.col(name), F.col(other), long))
     return met.drop("_key").distinct()
 
 
@@ -186,5 +186,5 @@ def cascade(rows: DataFrame, row_id: str, rules: Sequence[tuple[str, Rule]]) ->
     for name, rule in rules:
         found = rule(left, placed).groupBy(row_id).agg(F.min("place_id").alias("place_id")).withColumn("rule", F.lit(name)).checkpoint()
         placed = found if placed is None else placed.unionByName(found)
-        left = left.join(found.select(row_id), row_id, "left_anti")
+        left = left.join(found.select(row_id).hint("merge"), row_id, "left_anti")
     return placed

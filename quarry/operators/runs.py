@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.streets import same_street
+from quarry.operators.cluster import met_by_sort
 from quarry.operators.spatial import pair_distances
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
@@ -27,7 +28,7 @@ def around(numbers: DataFrame, held: DataFrame, reach: int) -> DataFrame:
     """
     bin_ = lambda c: F.floor(F.col(c) / F.lit(reach))
     asked = numbers.withColumn("_bin", F.explode(F.array(*[bin_("number") + d for d in (-1, 0, 1)])))
-    met = asked.join(held.withColumn("_bin", bin_("at")), ["ward", "_bin"])
+    met = asked.join(held.withColumn("_bin", bin_("at")).hint("merge"), ["ward", "_bin"])
     return met.where(F.abs(F.col("at") - F.col("number")) <= reach).drop("_bin")
 
 
@@ -48,7 +49,8 @@ def parcel_run(parcels: DataFrame, yards: DataFrame, width: int = 6, least: int
     """
 
     def rule(rows: DataFrame, exact: DataFrame) -> DataFrame:
-        lots = parcels.groupBy("place_id").agg(F.min(F.struct("section", "parcel")).alias("lot"))
+        rows, exact = met_by_sort(rows, exact)
+        lots = parcels.groupBy("place_id").agg(F.min(F.struct("section", "parcel")).alias("lot")).hint("merge")
         linked = exact.select("ward", F.col("number").alias("at"), "place_id").join(lots, "place_id").select("ward", "at", "lot.section", "lot.parcel")
         seen = around(_asked(rows), linked, width).groupBy("ward", "number").agg(F.collect_list(F.struct("at", "section", "parcel")).alias("near"))
         ballot = lambda v, sign: F.struct(v["section"].alias("section"), F.lit(sign).alias("sign"), (v["parcel"] - sign * v["at"]).alias("c"))
@@ -60,7 +62,7 @@ def parcel_run(parcels: DataFrame, yards: DataFrame, width: int = 6, least: int
         fit = won.where((votes >= least) & (votes >= share * F.col("n")) & (F.array_min("w.ats") < n) & (n < F.array_max("w.ats")))
         goal = fit.select("ward", "number", F.col("w.section").alias("section"), (F.col("w.c") - F.col("w.down") * n).alias("parcel"))
         free = goal.join(exact.select("ward", "number"), ["ward", "number"], "left_anti")
-        found = free.join(yards.groupBy("section", "parcel").agg(F.min("place_id").alias("place_id")), ["section", "parcel"])
+        found = free.join(yards.groupBy("section", "parcel").agg(F.min("place_id").alias("place_id")).hint("merge"), ["section", "parcel"])
         return rows.join(found.select("ward", "number", "place_id"), ["ward", "number"]).select("row_id", "place_id")
 
     return rule
@@ -81,6 +83,7 @@ def interpolate(polygons: DataFrame, gap: int = 3, near: float = 15.0) -> Rule:
     """
 
     def rule(rows: DataFrame, exact: DataFrame) -> DataFrame:
+        rows, exact = met_by_sort(rows, exact)
         held = exact.select("ward", F.col("number").alias("at"), "place_id", "streets")
         value = F.struct("at", "place_id", "streets")
         step = F.col("at") - F.col("number")
@@ -104,6 +107,7 @@ def between_anchors(anchors: DataFrame, polygons: DataFrame, gap: int = 3, near:
     """
 
     def rule(rows: DataFrame, exact: DataFrame) -> DataFrame:
+        rows, exact = met_by_sort(rows, exact)
         held = anchors.select(F.col("ward").alias("ward"), F.col("number").alias("at"), "place_id", "streets")
         asked = _asked(rows.withColumn("ward", F.col("source_ward"))) if "source_ward" in rows.columns else _asked(rows)
         ward = "source_ward" if "source_ward" in rows.columns else "ward"
@@ -138,7 +142,7 @@ def holdout(rule: Rule, exact: DataFrame, polygons: DataFrame, reach: int) -> Da
     rows = exact.select(fold.alias("row_id"), fold.alias("ward"), F.col("ward").alias("source_ward"), "number", F.array_min("streets").alias("street"))
     seen = around(exact.select("ward", "number"), exact.select("ward", F.col("number").alias("at"), "place_id", "streets"), reach)
     masked = seen.where(F.col("at") != F.col("number")).select(fold.alias("ward"), F.col("at").alias("number"), "place_id", "streets")
-    said = rule(rows, masked).withColumnRenamed("place_id", "predicted")
+    said = rule(rows, masked).withColumnRenamed("place_id", "predicted").hint("merge")
     met = exact.withColumn("row_id", fold).join(said, "row_id").select("ward", "number", "place_id", "predicted")
     told = pair_distances(met, polygons, "place_id", "predicted", "place_id")
     return told.withColumn("bucket", bucket(F.col("metres"), F.col("place_id") == F.col("predicted")))

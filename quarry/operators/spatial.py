@@ -42,7 +42,7 @@ def within(points: DataFrame, polygons: DataFrame, point_id: str, place_id: str,
         spread = lambda low, high: F.explode(F.sequence(cell(b[low] - reach), cell(b[high] + reach)))
         placed = sized.withColumn("cx", spread("x0", "x1")).withColumn("cy", spread("y0", "y1"))
         probes = asked.withColumn("level", F.explode(levels.cast("array<int>"))).withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-        met = probes.join(placed, ["level", "cx", "cy"])
+        met = probes.join(placed.hint("merge"), ["level", "cx", "cy"])
     return met.where(_near(reach)).select(point_id, place_id, G.metres(F.col("edges"), F.col("x"), F.col("y")).alias("metres")).where(F.col("metres") <= reach)
 
 
@@ -56,8 +56,8 @@ def pair_distances(pairs: DataFrame, polygons: DataFrame, a: str, b: str, place_
     """``pairs`` with metres between the polygons ``a`` and ``b``; each pair of different ones is measured once."""
     edges = lambda name, into: polygons.select(F.col(place_id).alias(name), F.col("edges").alias(into))
     once = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).distinct()
-    told = once.join(edges("_a", "_e"), "_a").join(edges("_b", "_f"), "_b").select("_a", "_b", G.between(F.col("_e"), F.col("_f")).alias("_d"))
-    out = pairs.join(told, (F.least(a, b) == F.col("_a")) & (F.greatest(a, b) == F.col("_b")), "left")
+    told = once.join(edges("_a", "_e").hint("merge"), "_a").join(edges("_b", "_f").hint("merge"), "_b").select("_a", "_b", G.between(F.col("_e"), F.col("_f")).alias("_d"))
+    out = pairs.join(told.hint("merge"), (F.least(a, b) == F.col("_a")) & (F.greatest(a, b) == F.col("_b")), "left")
     return out.withColumn("metres", F.when(F.col(a) == F.col(b), F.lit(0.0)).otherwise(F.col("_d"))).drop("_a", "_b", "_d")
 
 

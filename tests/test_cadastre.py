@@ -235,3 +235,12 @@ def test_equal_distances_are_equal(spark):
     assert {(r.id, r.place_id): r.d for r in both if r.d <= 8} == found
     none = held.select(G.metres(F.slice("edges", 1, 0), F.lit(1.0), F.lit(1.0)).alias("none"), G.metres(F.col("edges"), F.lit(None).cast("double"), F.lit(1.0)).alias("null")).collect()
     assert all(r.none is None and r.null is None for r in none)
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    from quarry.plans import cadastre
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(cadastre.holdout_rules(spark, "/root/testdata/sf0.001"))
+    rows, _, owners, *_ = cadastre._book(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in plan(linkage.similar_names(rows, owners.withColumnRenamed("name", "owner"), "name", "owner"))
