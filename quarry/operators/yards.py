@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import linkage, placement, runs, spatial
-from quarry.operators.cluster import shared_folder
+from quarry.operators.cluster import met_by_sort, shared_folder
 
 
 def readings(rows: DataFrame, by: str, *pairs: tuple[str, str]) -> DataFrame:
@@ -31,7 +31,7 @@ def namesake_yards(rows: DataFrame, owners: DataFrame, streets: DataFrame, with_
     if with_initial:
         met = met.where((F.col("initial") != "") & (F.col("initial") == F.col("owner_initial")))
     keys = ["along", "name", *(["initial"] if with_initial else [])]
-    return rows.join(met.select(*keys, "yard").distinct(), keys).select("row_id", "yard")
+    return rows.join(met.select(*keys, "yard").distinct().hint("merge"), keys).select("row_id", "yard")
 
 
 def rare_names(rows: DataFrame, owners: DataFrame, most: int) -> DataFrame:
@@ -44,8 +44,8 @@ def rare_names(rows: DataFrame, owners: DataFrame, most: int) -> DataFrame:
 def only_owner(rows: DataFrame, owners: DataFrame, streets: DataFrame, yards: DataFrame, most: int) -> DataFrame:
     """(row_id, place_id): the only yard in the street whose owner has the row's name and initial, for a name that is rare, if it has premises."""
     one = namesake_yards(rows, owners, streets, True).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("place_id")).where("n = 1")
-    rare = rows.join(rare_names(rows, owners, most), "name", "left_semi").select("row_id")
-    return one.join(rare, "row_id", "left_semi").join(yards.where("premises").select("place_id"), "place_id", "left_semi").select("row_id", "place_id")
+    rare = rows.join(rare_names(rows, owners, most).hint("merge"), "name", "left_semi").select("row_id")
+    return one.join(rare.hint("merge"), "row_id", "left_semi").join(yards.where("premises").select("place_id"), "place_id", "left_semi").select("row_id", "place_id")
 
 
 def placed_by_point(rows: DataFrame, yards: DataFrame, owners: DataFrame, streets: DataFrame, reach: float, pile: int, tree: spatial.Quadtree | None = None) -> DataFrame:
@@ -58,12 +58,12 @@ def placed_by_point(rows: DataFrame, yards: DataFrame, owners: DataFrame, street
     at = rows.join(met, "row_id").join(yards.select("place_id", "premises"), "place_id")
     tentative = at.where("premises and not quay")
     one = namesake_yards(tentative, owners, streets, False).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("yard")).where("n = 1").select("row_id", "yard")
-    other = tentative.select("row_id", "place_id").join(one, "row_id").where("yard <> place_id").join(yards.where("premises").select(F.col("place_id").alias("yard")), "yard")
+    other = tentative.select("row_id", "place_id").join(one.hint("merge"), "row_id").where("yard <> place_id").join(yards.where("premises").select(F.col("place_id").alias("yard")), "yard")
     moved = spatial.pair_distances(other, yards, "place_id", "yard", "place_id").where("metres < 1").select("row_id", F.col("yard").alias("_moved"))
-    told = at.join(moved, "row_id", "left")
+    told = at.join(moved.hint("merge"), "row_id", "left")
     counted = told.where("premises and not quay and _moved is null and ward is not null and number is not null")
     piles = counted.groupBy(F.col("place_id").alias("_p")).agg(F.count_distinct("ward", "number").alias("n")).where(F.col("n") >= pile).select("_p")
-    told = told.join(piles, F.col("place_id") == F.col("_p"), "left")
+    told = told.join(piles.hint("merge"), F.col("place_id") == F.col("_p"), "left")
     how = F.when(~F.col("premises"), "off").when(F.col("quay"), "quay").when(F.col("_moved").isNotNull(), "owner_next").when(F.col("_p").isNotNull(), "piled").otherwise("point")
     return told.select("row_id", F.coalesce("_moved", "place_id").alias("place_id"), how.alias("how"))
 
@@ -85,20 +85,21 @@ def place_on_yards(rows: DataFrame, yards: DataFrame, owners: DataFrame, streets
     ``register`` has (row_id, place_id) as another source names it, ``anchors`` what ``runs.between_anchors`` takes.
     """
     shared_folder(rows.sparkSession)
+    rows, yards, owners, streets, register, anchors = met_by_sort(rows, yards, owners, streets, register, anchors)
     points = placed_by_point(rows, yards, owners, streets, reach, pile, tree).checkpoint()
     how = lambda *names: points.where(F.col("how").isin(*names)).select("row_id", "place_id")
     exact = exact_numbers(rows, how("point")).checkpoint()
     lots = yards.where("parcel is not null").select("place_id", "section", "parcel")
     built = yards.where("premises")
-    open_of = lambda df: lambda left, _: df.join(left.select("row_id"), "row_id", "left_semi")
+    open_of = lambda df: lambda left, _: df.join(left.select("row_id").hint("merge"), "row_id", "left_semi")
 
     def to_premises(left: DataFrame, _: DataFrame) -> DataFrame:
-        off = left.join(how("off").select("row_id"), "row_id", "left_semi")
+        off = left.join(how("off").select("row_id").hint("merge"), "row_id", "left_semi")
         return spatial.nearest(off, built, "row_id", "place_id", reach, tree).select("row_id", "place_id")
 
     def person(left: DataFrame, placed: DataFrame) -> DataFrame:
-        known = rows.where("settled").join(placed.select("row_id", "place_id"), "row_id").select("row_id", "place_id")
-        return placement.same_person_elsewhere(rows.where("settled"), known, "row_id", ["name", "initial"], "street").join(left.select("row_id"), "row_id", "left_semi")
+        known = rows.where("settled").join(placed.select("row_id", "place_id").hint("merge"), "row_id").select("row_id", "place_id")
+        return placement.same_person_elsewhere(rows.where("settled"), known, "row_id", ["name", "initial"], "street").join(left.select("row_id").hint("merge"), "row_id", "left_semi")
 
     between = runs.between_anchors(anchors, yards)
     rules = [
