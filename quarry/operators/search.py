@@ -45,7 +45,7 @@ def write_index(index: tuple[DataFrame, DataFrame], path: str, postings_a_file:
     dealt = index[0].join(F.broadcast(counts), F.col("head") == F.col("_h")).withColumn("_salt", F.pmod(F.xxhash64("row_id"), "_files"))
     dealt.repartition("head", "_salt").drop("_h", "_files", "_salt").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
     index[1].write.mode("overwrite").parquet(f"{path}/stats")
-    totals_of(index[1]).write.mode("overwrite").parquet(f"{path}/totals")
+    totals_of(index[1].sparkSession.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def totals_of(stats: DataFrame) -> DataFrame:
