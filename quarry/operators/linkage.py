@@ -179,12 +179,13 @@ Rule = Callable[[DataFrame, DataFrame], DataFrame]
 def cascade(rows: DataFrame, row_id: str, rules: Sequence[tuple[str, Rule]]) -> DataFrame:
     """(row_id, place_id, rule): rules in order, each sees the rows that none before has placed, and the placements so far.
 
-    Each rule's placements are checkpointed, so no later rule computes them again.
+    Each rule's placements and the rows that it leaves are checkpointed, so no later rule computes them again.
     """
     shared_folder(rows.sparkSession)
     placed, left = None, rows
-    for name, rule in rules:
+    for k, (name, rule) in enumerate(rules, 1):
         found = rule(left, placed).groupBy(row_id).agg(F.min("place_id").alias("place_id")).withColumn("rule", F.lit(name)).checkpoint()
         placed = found if placed is None else placed.unionByName(found)
-        left = left.join(found.select(row_id).hint("merge"), row_id, "left_anti")
+        if k < len(rules):
+            left = left.join(found.select(row_id).hint("merge"), row_id, "left_anti").checkpoint().hint("merge")
     return placed

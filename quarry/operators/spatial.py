@@ -14,7 +14,7 @@ from quarry.operators.cluster import shared_folder, spread
 
 def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     """Polygons with edges and box in place of their rings; those without a point go."""
-    return polygons.withColumn("edges", G.edges(F.col(rings))).where(F.size("edges") > 0).withColumn("box", G.box(F.col("edges"))).drop(rings)
+    return polygons.where(F.size(F.flatten(rings)) > 0).withColumn("edges", G.edges(F.col(rings))).withColumn("box", G.box(F.col("edges"))).drop(rings)
 
 
 #: Points and polygons that meet as one row.

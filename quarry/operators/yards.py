@@ -55,7 +55,7 @@ def placed_by_point(rows: DataFrame, yards: DataFrame, owners: DataFrame, street
     street that a namesake owns), piled (``pile`` or more numbers of wards come together on the yard) or point.
     """
     met = spatial.nearest(rows.where("x is not null and y is not null"), yards, "row_id", "place_id", reach, tree).select("row_id", "place_id")
-    at = rows.join(met, "row_id").join(yards.select("place_id", "premises"), "place_id")
+    at = rows.drop("x", "y").join(met, "row_id").join(yards.select("place_id", "premises"), "place_id").checkpoint().hint("merge")
     tentative = at.where("premises and not quay")
     one = namesake_yards(tentative, owners, streets, False).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("yard")).where("n = 1").select("row_id", "yard")
     other = tentative.select("row_id", "place_id").join(one.hint("merge"), "row_id").where("yard <> place_id").join(yards.where("premises").select(F.col("place_id").alias("yard")), "yard")
@@ -85,7 +85,8 @@ def place_on_yards(rows: DataFrame, yards: DataFrame, owners: DataFrame, streets
     ``register`` has (row_id, place_id) as another source names it, ``anchors`` what ``runs.between_anchors`` takes.
     """
     shared_folder(rows.sparkSession)
-    rows, yards, owners, streets, register, anchors = met_by_sort(rows, yards, owners, streets, register, anchors)
+    # a yard's edges are read many times and worked out once
+    rows, yards, owners, streets, register, anchors = met_by_sort(rows, yards.checkpoint(), owners, streets, register, anchors)
     points = placed_by_point(rows, yards, owners, streets, reach, pile, tree).checkpoint()
     how = lambda *names: points.where(F.col("how").isin(*names)).select("row_id", "place_id")
     exact = exact_numbers(rows, how("point")).checkpoint()
@@ -98,8 +99,8 @@ def place_on_yards(rows: DataFrame, yards: DataFrame, owners: DataFrame, streets
         return spatial.nearest(off, built, "row_id", "place_id", reach, tree).select("row_id", "place_id")
 
     def person(left: DataFrame, placed: DataFrame) -> DataFrame:
-        known = rows.where("settled").join(placed.select("row_id", "place_id").hint("merge"), "row_id").select("row_id", "place_id")
-        return placement.same_person_elsewhere(rows.where("settled"), known, "row_id", ["name", "initial"], "street").join(left.select("row_id").hint("merge"), "row_id", "left_semi")
+        found = placement.same_person_elsewhere(rows.where("settled"), placed.select("row_id", "place_id"), "row_id", ["name", "initial"], "street")
+        return found.join(left.select("row_id").hint("merge"), "row_id", "left_semi")
 
     between = runs.between_anchors(anchors, yards)
     rules = [

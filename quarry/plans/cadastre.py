@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import geometry as G
 from quarry.operators import runs, spatial
+from quarry.operators.cluster import shared_folder, spread
 from quarry.plans.queries import query, table
 
 # ---------------------------------------------------------------- polygons and cells
@@ -184,7 +185,10 @@ SELECT id AS row_id, place AS place_id, rule, rule = 'point' AS exact FROM c8"""
 
 
 def _book(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey div 400 AS ward", "p_partkey % 400 AS number", "p_size AS s", "repeat(char(97 + (p_partkey % 400) div 50), 7) AS street")
+    shared_folder(spark)
+    # few bytes a row, so few tasks would read what is long to work out, and each table below reads it again
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").checkpoint()
+    p = p.selectExpr("p_partkey AS id", "p_partkey div 400 AS ward", "p_partkey % 400 AS number", "p_size AS s", "repeat(char(97 + (p_partkey % 400) div 50), 7) AS street")
     person = lambda k: f"concat(repeat(char(97 + {k} % 26), 4), repeat(char(97 + {k} div 26), 3), repeat(char(97 + ward % 26), 2))"
     yards = p.selectExpr("id AS place_id", "ward AS section", "if(ward % 2 = 0, number + 7, 500 - number) AS parcel", "s % 13 <> 0 AS premises", "number", "s", "ward")
     corner = lambda i, j: F.struct(F.expr(f"number * 7.0D + {i} * (6 + s % 2)").alias("x"), F.expr(f"ward * 1000.0D + {j} * 12").alias("y"))

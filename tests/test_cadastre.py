@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry as G
-from quarry.operators import linkage, runs, spatial, yards
+from quarry.operators import linkage, placement, runs, spatial, yards
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -282,3 +282,44 @@ def test_growing_tables_are_not_broadcast(spark):
     assert "Broadcast" not in plan(cadastre.holdout_rules(spark, "/root/testdata/sf0.001"))
     rows, _, owners, *_ = cadastre._book(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in plan(linkage.similar_names(rows, owners.withColumnRenamed("name", "owner"), "name", "owner"))
+
+
+def test_same_person_meets_by_streets_not_by_rows(spark, monkeypatch):
+    rng, seen = random.Random(9), spark.sparkContext.accumulator(0)
+    streets = ["aaaaaaa", "aaaaabb", "bbbbbbb", "", None]
+    rows = [(k, rng.choice(["jansen", "vos", "", None]), rng.choice(["j", "k"]), rng.choice(streets)) for k in range(60)]
+    rows += [(100 + k, "bakker", "b", "ccccccc") for k in range(300)] + [(500 + k, "smit", "s", streets[k % 3]) for k in range(40)]
+    placed = {k: k % 7 for k in range(0, 60, 3)} | {100 + k: k for k in range(0, 300, 2)} | {500 + k: 1 + k % 3 for k in range(0, 40, 4)}
+    want = {}
+    for k, n, i, s in rows:
+        at = {placed[r] for r, m, j, t in rows if r in placed and (m, j) == (n, i) and s and t and (s[:5] in t or t[:5] in s)}
+        if k not in placed and n and len(at) == 1:
+            want[k] = at.pop()
+
+    def counted(a, b):
+        @F.udf("boolean")
+        def same(s, t):
+            seen.add(1)
+            return bool(s and t and (s[:5] in t or t[:5] in s))
+
+        return same(a, b)
+
+    monkeypatch.setattr(placement, "same_street", counted)
+    df, held = spark.createDataFrame(rows, "row_id long, name string, initial string, street string"), spark.createDataFrame(list(placed.items()), "row_id long, place_id long")
+    found = {r.row_id: r.place_id for r in placement.same_person_elsewhere(df, held, "row_id", ["name", "initial"], "street").collect()}
+    assert found == want and len(found) > 5
+    assert seen.value < 200  # 22,500 pairs of rows are of one person
+
+
+def test_cascade_works_out_what_is_left_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        seen.add(1)
+        return k % 7
+
+    rows = spark.range(700).select(F.col("id").alias("row_id"), counted("id").alias("place_id"))
+    rules = [(str(k), lambda left, _, k=k: left.where(F.col("place_id") == k)) for k in range(5)]
+    assert linkage.cascade(rows, "row_id", rules).count() == 500
+    assert seen.value <= 3 * 700
