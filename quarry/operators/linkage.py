@@ -145,11 +145,12 @@ def similar_names(left: DataFrame, right: DataFrame, name: str, other: str, by:
     """Pairs of rows whose names are the same: equal, or one letter apart where both have ``long`` letters.
 
     Names meet on themselves and, where they are long enough, on what is left without one
-    of their letters, so a name has one key more than it has letters and equal keys miss no pair;
-    what shares a key only by chance is told apart afterwards. ``by`` must agree as well. Empty names meet none.
+    of their letters, so a name has one key more than it has letters and equal keys miss no pair; keys are
+    hashed, and what shares one only by chance is told apart afterwards. ``by`` must agree as well. Empty names meet none.
     """
     cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substr(c, F.lit(1), k - 1), F.substr(c, k + 1)))
-    keys = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), F.when(F.length(c) >= long, cut(c)).otherwise(F.array().cast("array<string>")))))
+    told = lambda c: F.concat(F.array(c), F.when(F.length(c) >= long, cut(c)).otherwise(F.array().cast("array<string>")))
+    keys = lambda c: F.explode(F.array_distinct(F.transform(told(c), lambda k: F.xxhash64(k))))
     a = left.where(F.col(name) != "").withColumn("_key", keys(F.col(name)))
     b = right.where(F.col(other) != "").withColumn("_key", keys(F.col(other)))
     met = a.join(b.hint("merge"), [*by, "_key"]).where(same_name(F.col(name), F.col(other), long))

@@ -52,14 +52,13 @@ def parcel_run(parcels: DataFrame, yards: DataFrame, width: int = 6, least: int
         rows, exact = met_by_sort(rows, exact)
         lots = parcels.groupBy("place_id").agg(F.min(F.struct("section", "parcel")).alias("lot")).hint("merge")
         linked = exact.select("ward", F.col("number").alias("at"), "place_id").join(lots, "place_id").select("ward", "at", "lot.section", "lot.parcel")
-        seen = around(_asked(rows), linked, width).groupBy("ward", "number").agg(F.collect_list(F.struct("at", "section", "parcel")).alias("near"))
-        ballot = lambda v, sign: F.struct(v["section"].alias("section"), F.lit(sign).alias("sign"), (v["parcel"] - sign * v["at"]).alias("c"))
-        counted = seen.withColumn("ballots", F.array_distinct(F.flatten(F.transform("near", lambda v: F.array(ballot(v, 1), ballot(v, -1))))))
-        agrees = lambda b: F.filter("near", lambda v: (v["section"] == b["section"]) & (v["parcel"] == b["c"] + b["sign"] * v["at"]))
-        told = F.transform("ballots", lambda b: F.struct((-F.size(agrees(b))).alias("votes"), b["section"].alias("section"), (-b["sign"]).alias("down"), b["c"].alias("c"), F.transform(agrees(b), lambda v: v["at"]).alias("ats")))
-        won = counted.select("ward", "number", F.size("near").alias("n"), F.array_min(told).alias("w"))
+        ballots = around(_asked(rows), linked, width).withColumn("down", F.explode(F.array(F.lit(-1), F.lit(1))))  # down is less the sign of ``at``
+        told = ballots.groupBy("ward", "number", "section", "down", (F.col("parcel") + F.col("down") * F.col("at")).alias("c"))
+        counted = told.agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+        best = F.min(F.when(F.col("section").isNotNull() & F.col("c").isNotNull(), F.struct((-F.col("votes")).alias("votes"), "section", "down", "c", "low", "high")))
+        won = counted.groupBy("ward", "number").agg((F.sum("votes") / 2).alias("n"), best.alias("w"))
         votes, n = -F.col("w.votes"), F.col("number")
-        fit = won.where((votes >= least) & (votes >= share * F.col("n")) & (F.array_min("w.ats") < n) & (n < F.array_max("w.ats")))
+        fit = won.where((votes >= least) & (votes >= share * F.col("n")) & (F.col("w.low") < n) & (n < F.col("w.high")))
         goal = fit.select("ward", "number", F.col("w.section").alias("section"), (F.col("w.c") - F.col("w.down") * n).alias("parcel"))
         free = goal.join(exact.select("ward", "number"), ["ward", "number"], "left_anti")
         found = free.join(yards.groupBy("section", "parcel").agg(F.min("place_id").alias("place_id")).hint("merge"), ["section", "parcel"])

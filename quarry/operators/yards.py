@@ -22,30 +22,31 @@ def readings(rows: DataFrame, by: str, *pairs: tuple[str, str]) -> DataFrame:
     return rows.select(F.col(by).alias("place_id"), told.alias("r")).select("place_id", "r.name", "r.initial").where(F.coalesce("name", F.lit("")) != "").distinct()
 
 
-def namesake_yards(rows: DataFrame, owners: DataFrame, streets: DataFrame, with_initial: bool) -> DataFrame:
-    """(row_id, yard): the yards along a row's street of today that an owner of the same name holds, and initial where asked for."""
-    held = streets.join(owners, "place_id").select("along", F.col("place_id").alias("yard"), F.col("name").alias("owner"), F.col("initial").alias("owner_initial")).distinct()
+def namesake_yards(rows: DataFrame, owners: DataFrame, streets: DataFrame) -> DataFrame:
+    """(row_id, yard): the yards along a row's street of today that an owner of the same name holds."""
+    held = streets.join(owners, "place_id").select("along", F.col("place_id").alias("yard"), F.col("name").alias("owner")).distinct()
     # a name that many rows of a street share meets its owners once
-    asked = rows.select("along", "name", *(["initial"] if with_initial else [])).distinct()
+    asked = rows.select("along", "name").distinct()
     met = linkage.similar_names(asked, held, "name", "owner", ["along"])
-    if with_initial:
-        met = met.where((F.col("initial") != "") & (F.col("initial") == F.col("owner_initial")))
-    keys = ["along", "name", *(["initial"] if with_initial else [])]
-    return rows.join(met.select(*keys, "yard").distinct().hint("merge"), keys).select("row_id", "yard")
+    return rows.join(met.select("along", "name", "yard").distinct().hint("merge"), ["along", "name"]).select("row_id", "yard")
 
 
 def rare_names(rows: DataFrame, owners: DataFrame, most: int) -> DataFrame:
-    """Names of rows whose like own at most ``most`` yards, a yard counting once for each name it is owned under."""
+    """(name, owner): names of rows whose like own at most ``most`` yards, a yard counting once for each name it is owned under, and these like names."""
     spread = owners.select(F.col("name").alias("owner"), "place_id").distinct().groupBy("owner").agg(F.count("*").alias("n"))
-    met = linkage.similar_names(rows.select("name").distinct(), spread, "name", "owner")
-    return met.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") <= most).select("name")
+    met = linkage.similar_names(rows.select("name").distinct(), spread, "name", "owner").checkpoint()
+    few = met.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") <= most).select("name")
+    return met.join(few.hint("merge"), "name", "left_semi").select("name", "owner")
 
 
 def only_owner(rows: DataFrame, owners: DataFrame, streets: DataFrame, yards: DataFrame, most: int) -> DataFrame:
     """(row_id, place_id): the only yard in the street whose owner has the row's name and initial, for a name that is rare, if it has premises."""
-    one = namesake_yards(rows, owners, streets, True).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("place_id")).where("n = 1")
-    rare = rows.join(rare_names(rows, owners, most).hint("merge"), "name", "left_semi").select("row_id")
-    return one.join(rare.hint("merge"), "row_id", "left_semi").join(yards.where("premises").select("place_id"), "place_id", "left_semi").select("row_id", "place_id")
+    # rare names first: each has at most ``most`` yards, and no other name is looked for in the streets
+    held = owners.withColumnRenamed("name", "owner").join(rare_names(rows, owners, most).hint("merge"), "owner").where(F.col("initial") != "")
+    known = streets.join(held.select("place_id", "name", "initial").hint("merge"), "place_id").distinct()
+    met = rows.join(known.hint("merge"), ["along", "name", "initial"])
+    one = met.groupBy("row_id").agg(F.count("*").alias("n"), F.min("place_id").alias("place_id")).where("n = 1")
+    return one.join(yards.where("premises").select("place_id"), "place_id", "left_semi").select("row_id", "place_id")
 
 
 def placed_by_point(rows: DataFrame, yards: DataFrame, owners: DataFrame, streets: DataFrame, reach: float, pile: int, tree: spatial.Quadtree | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def placed_by_point(rows: DataFrame, yards: DataFrame, owners: DataFrame, street
     met = spatial.nearest(rows.where("x is not null and y is not null"), yards, "row_id", "place_id", reach, tree).select("row_id", "place_id")
     at = rows.drop("x", "y").join(met, "row_id").join(yards.select("place_id", "premises"), "place_id").checkpoint().hint("merge")
     tentative = at.where("premises and not quay")
-    one = namesake_yards(tentative, owners, streets, False).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("yard")).where("n = 1").select("row_id", "yard")
+    one = namesake_yards(tentative, owners, streets).groupBy("row_id").agg(F.count("*").alias("n"), F.min("yard").alias("yard")).where("n = 1").select("row_id", "yard")
     other = tentative.select("row_id", "place_id").join(one.hint("merge"), "row_id").where("yard <> place_id").join(yards.where("premises").select(F.col("place_id").alias("yard")), "yard")
     moved = spatial.pair_distances(other, yards, "place_id", "yard", "place_id").where("metres < 1").select("row_id", F.col("yard").alias("_moved"))
     told = at.join(moved.hint("merge"), "row_id", "left")
