@@ -323,3 +323,28 @@ def test_cascade_works_out_what_is_left_once(spark):
     rules = [(str(k), lambda left, _, k=k: left.where(F.col("place_id") == k)) for k in range(5)]
     assert linkage.cascade(rows, "row_id", rules).count() == 500
     assert seen.value <= 3 * 700
+
+
+def test_only_owner_searches_streets_for_rare_names_alone(spark, monkeypatch):
+    rng, asked, real = random.Random(4), [], linkage.similar_names
+    names = ["bakkers", "bakker", "bakkkers", "vos", "vo", "jansen", "janssen", "timmers"]
+    owners = [(k, n, rng.choice(["a", "b", ""])) for k in range(60) for n in rng.sample(names, rng.choice([0, 1, 1, 2]))]
+    rows = [(k, rng.choice([*names, "", None]), rng.choice(["a", "b", "", None]), rng.randrange(6)) for k in range(200)]
+    streets, premises = [(k % 6, k) for k in range(60)] + [(5, k) for k in range(0, 60, 7)], {k for k in range(60) if k % 5}
+
+    def near(p, q):
+        cuts = lambda w: {w[:k] + w[k + 1 :] for k in range(len(w))}
+        return p == q or (min(len(p), len(q)) >= 6 and (p in cuts(q) or q in cuts(p) or (len(p) == len(q) and sum(x != y for x, y in zip(p, q, strict=True)) == 1)))
+
+    want = {}
+    for r, n, i, along in rows:
+        held = {(p, o) for p, o, _ in owners if n and near(n, o)}
+        at = {p for p, o, j in owners if n and near(n, o) and i and i == j and (along, p) in streets}
+        if 0 < len(held) <= 12 and len(at) == 1 and at <= premises:
+            want[r] = at.pop()
+    monkeypatch.setattr(linkage, "similar_names", lambda *a: asked.append(a[4:]) or real(*a))
+    df = spark.createDataFrame(rows, "row_id long, name string, initial string, along int")
+    yard = spark.createDataFrame([(k, k in premises) for k in range(60)], "place_id long, premises boolean")
+    found = yards.only_owner(df, spark.createDataFrame(owners, "place_id long, name string, initial string"), spark.createDataFrame(streets, "along int, place_id long"), yard, 12)
+    assert {r.row_id: r.place_id for r in found.collect()} == want and len(want) > 5
+    assert asked == [()]  # names meet once, whatever the streets
